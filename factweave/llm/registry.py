@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from factweave.llm.packing import op4_concatenate_and_cut
+from factweave.llm.quality import op5_pairwise_ranking
+from factweave.llm.secrets import op1_secret_field
 from factweave.llm.sharding import op7_virtual_slots
 from factweave.llm.tokens import op2_digest_cache
+from factweave.llm.toxicity import op10_noisy_or
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_digest_cache, op4_concatenate_and_cut, op7_virtual_slots)}
+    return {f.__name__: f for f in (op1_secret_field, op2_digest_cache, op4_concatenate_and_cut, op5_pairwise_ranking, op7_virtual_slots, op10_noisy_or)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,7 +77,7 @@ class Encoder:
         if parts is None:
             return np.asarray(self._whole(text), dtype="<u4").tobytes()
         memory = self.memory
-        for x in set(parts) - memory.keys():
+        for x in [x for x in set(parts) if x not in memory]:
             memory[x] = np.asarray(self.few(x), dtype="<u4").tobytes()
         out = b"".join(map(memory.__getitem__, parts))
         if len(memory) > MEMORY:
@@ -89,7 +89,7 @@ class Encoder:
         if parts is None:
             return len(self._whole(text))
         counts = self.counts
-        for x in set(parts) - counts.keys():
+        for x in [x for x in set(parts) if x not in counts]:
             counts[x] = len(self.few(x))
         out = sum(map(counts.__getitem__, parts))
         if len(counts) > MEMORY:
