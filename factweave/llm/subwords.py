@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
@@ -17,7 +18,9 @@ import numpy as np
 
 #: White space within Latin-1 other than the lone space and the lone line feed, and their pairs.
 IRREGULAR = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
-MEMORY = 300_000
+MEMORY = 600_000
+#: The array type of 32-bit ids.
+WORD = "I"
 
 
 @lru_cache(maxsize=2)
@@ -45,16 +48,17 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [str(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.lengths: np.ndarray | None = None
         self.few = self._few(ranks) if ranks else self._whole
         self.memory: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
 
-    @staticmethod
-    def _few(ranks: str):
+    def _few(self, ranks: str):
         import public_tokenizers
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
+        self.lengths = np.zeros(max(table.values()) + 1, dtype=np.int64)
+        self.lengths[list(table.values())] = [len(x) for x in table]
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def _whole(self, text: str) -> list[int]:
@@ -71,27 +75,31 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def _learn(self, parts: list[str]) -> None:
+        """Puts the ids of new parts into memory. Parts that start with a space are encoded in one go: a token starts at each."""
+        spaced = [x for x in parts if x[:1] == " "] if self.lengths is not None else []
+        for x in parts if len(spaced) < 3 else (x for x in parts if x[:1] != " "):
+            self.memory[x] = array(WORD, self.few(x)).tobytes()
+        if len(spaced) >= 3:
+            ids = array(WORD, self.few("".join(spaced)))
+            token_ends = np.cumsum(self.lengths[np.frombuffer(ids, dtype="<u4")])
+            ends = np.cumsum([len(x.encode()) for x in spaced])
+            cuts = ((np.searchsorted(token_ends, ends) + 1) * 4).tolist()
+            got = ids.tobytes()
+            self.memory.update(zip(spaced, (got[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         parts = self.pieces(text)
         if parts is None:
-            return np.asarray(self._whole(text), dtype="<u4").tobytes()
+            return array(WORD, self._whole(text)).tobytes()
         memory = self.memory
-        for x in [x for x in set(parts) if x not in memory]:
-            memory[x] = np.asarray(self.few(x), dtype="<u4").tobytes()
+        if new := [x for x in set(parts) if x not in memory]:
+            self._learn(new)
         out = b"".join(map(memory.__getitem__, parts))
         if len(memory) > MEMORY:
             memory.clear()
         return out
 
     def count(self, text: str) -> int:
-        parts = self.pieces(text)
-        if parts is None:
-            return len(self._whole(text))
-        counts = self.counts
-        for x in [x for x in set(parts) if x not in counts]:
-            counts[x] = len(self.few(x))
-        out = sum(map(counts.__getitem__, parts))
-        if len(counts) > MEMORY:
-            counts.clear()
-        return out
+        return len(self.ids(text)) // 4
