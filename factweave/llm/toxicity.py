@@ -25,7 +25,7 @@ from factweave.llm.base import crc_fold, documents, labelled_sample, table
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
-PER_CLASS = 4000
+PER_CLASS = 2500
 MIN_DOCUMENTS = 4
 MAX_WORDS = 20_000
 
@@ -56,21 +56,24 @@ def train(texts: list[str], y: list[int], rate: float, rounds: int = 300, decay:
     y = np.asarray(y, dtype=float)
     if not len(y) or y.min() == y.max():
         return Bags(0.0, {}, float(y.mean()) if len(y) else rate)
-    bags = [[set(WORD.findall(m[0].lower())) for m in SENTENCE.finditer(t) if not m[0].isspace()] for t in texts]
     n1, n0 = y.sum(), (1 - y).sum()
     c1, c0 = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        (c1 if label else c0).update(set().union(*bag))
+    for text, label in zip(texts, y, strict=True):
+        (c1 if label else c0).update(set(WORD.findall(text.lower())))
     # The words whose share of documents differs most between the classes, in units of its standard error.
-    strength = {w: abs(c1[w] / n1 - c0[w] / n0) / math.sqrt((p := (c1[w] + c0[w]) / len(y)) * (1 - p + 1e-9) * (1 / n1 + 1 / n0)) for w in c1.keys() | c0.keys() if c1[w] + c0[w] >= MIN_DOCUMENTS}
+    for rare in [w for w in c1.keys() | c0.keys() if c1[w] + c0[w] < MIN_DOCUMENTS]:
+        c1.pop(rare, None), c0.pop(rare, None)
+    strength = {w: abs(c1[w] / n1 - c0[w] / n0) / math.sqrt((p := (c1[w] + c0[w]) / len(y)) * (1 - p + 1e-9) * (1 / n1 + 1 / n0)) for w in c1.keys() | c0.keys()}
     words = sorted((w for w, s in strength.items() if s >= 5.0), key=lambda w: (-strength[w], w))[:MAX_WORDS]
     index = {w: k for k, w in enumerate(words)}
     of_doc, of_sentence, of_word = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
+    for d, text in enumerate(texts):
+        for m in SENTENCE.finditer(text):
+            if m[0].isspace():
+                continue
             k = len(of_doc)
             of_doc.append(d)
-            got = [index[w] for w in s if w in index]
+            got = [index[w] for w in set(WORD.findall(m[0].lower())) if w in index]
             of_word += got
             of_sentence += [k] * len(got)
     of_doc, of_sentence, of_word = (np.asarray(x, dtype=np.int64) for x in (of_doc, of_sentence, of_word))
