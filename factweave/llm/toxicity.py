@@ -26,7 +26,7 @@ from factweave.llm.base import crc_fold, documents, labelled_sample, table
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 PER_CLASS = 2500
-MIN_DOCUMENTS = 4
+MIN_SENTENCES = 4
 MAX_WORDS = 20_000
 
 
@@ -52,19 +52,26 @@ class Bags:
         return -math.expm1(-sum(np.logaddexp(0, [z for *_, z in got]).tolist())), [(s, e, 1 / (1 + math.exp(-min(z, 500)))) for s, e, z in got if z > 0]
 
 
-def train(texts: list[str], y: list[int], rate: float, rounds: int = 300, decay: float = 2e-4) -> Bags:
+def train(texts: list[str], y: list[int], rate: float, rounds: int = 400, decay: float = 2e-5) -> Bags:
     y = np.asarray(y, dtype=float)
     if not len(y) or y.min() == y.max():
         return Bags(0.0, {}, float(y.mean()) if len(y) else rate)
-    n1, n0 = y.sum(), (1 - y).sum()
-    c1, c0 = Counter(), Counter()
-    for text, label in zip(texts, y, strict=True):
-        (c1 if label else c0).update(set(WORD.findall(text.lower())))
-    # The words whose share of documents differs most between the classes, in units of its standard error.
-    for rare in [w for w in c1.keys() | c0.keys() if c1[w] + c0[w] < MIN_DOCUMENTS]:
-        c1.pop(rare, None), c0.pop(rare, None)
-    strength = {w: abs(c1[w] / n1 - c0[w] / n0) / math.sqrt((p := (c1[w] + c0[w]) / len(y)) * (1 - p + 1e-9) * (1 / n1 + 1 / n0)) for w in c1.keys() | c0.keys()}
-    words = sorted((w for w, s in strength.items() if s >= 5.0), key=lambda w: (-strength[w], w))[:MAX_WORDS]
+    # Words are counted in distinct sentences, so those of copied documents count once.
+    counts, n, seen = (Counter(), Counter()), [0, 0], (set(), set())
+    for text, label in zip(texts, y.astype(int), strict=True):
+        for m in SENTENCE.finditer(text):
+            found = set(WORD.findall(m[0].lower()))
+            if found and (key := hash(frozenset(found))) not in seen[label]:
+                seen[label].add(key)
+                counts[label].update(found)
+                n[label] += 1
+    c0, c1 = counts
+    n0, n1 = (max(1, x) for x in n)
+    total = n0 + n1
+    # Those whose share of sentences differs most between the classes, in units of its standard error.
+    strength = {w: abs(c1[w] / n1 - c0[w] / n0) / math.sqrt((p := k / total) * (1 - p + 1e-9) * (1 / n1 + 1 / n0)) for w in c1.keys() | c0.keys() if (k := c1[w] + c0[w]) >= MIN_SENTENCES}
+    del seen, counts, c0, c1
+    words = sorted((w for w, s in strength.items() if s >= 8.0), key=lambda w: (-strength[w], w))[:MAX_WORDS]
     index = {w: k for k, w in enumerate(words)}
     of_doc, of_sentence, of_word = [], [], []
     for d, text in enumerate(texts):
@@ -77,7 +84,7 @@ def train(texts: list[str], y: list[int], rate: float, rounds: int = 300, decay:
             of_word += got
             of_sentence += [k] * len(got)
     of_doc, of_sentence, of_word = (np.asarray(x, dtype=np.int64) for x in (of_doc, of_sentence, of_word))
-    weight = np.where(y == 1, rate / n1, (1 - rate) / n0)
+    weight = np.where(y == 1, rate / y.sum(), (1 - rate) / (1 - y).sum())
     w, b = np.zeros(len(words)), -4.0
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for t in range(1, rounds + 1):
