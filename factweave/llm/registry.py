@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from factweave.llm import decontamination, line_rules
 from factweave.llm.decontamination import op8_containment_search
+from factweave.llm.language_model import op3_attention_scores
 from factweave.llm.line_rules import op6_line_frequency
 from factweave.llm.near_join import op9_lsh_forest
 from factweave.llm.packing import op4_concatenate_and_cut
@@ -15,7 +16,7 @@ from factweave.llm.toxicity import op10_noisy_or
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_field, op2_digest_cache, op4_concatenate_and_cut, op5_pairwise_ranking, op6_line_frequency, op7_virtual_slots, op8_containment_search, op9_lsh_forest, op10_noisy_or)}
+    return {f.__name__: f for f in (op1_secret_field, op2_digest_cache, op3_attention_scores, op4_concatenate_and_cut, op5_pairwise_ranking, op6_line_frequency, op7_virtual_slots, op8_containment_search, op9_lsh_forest, op10_noisy_or)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -75,18 +75,30 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def each(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that start with a space and hold no other white space. Regular ones are encoded in one go: a token starts at each."""
+        if self.lengths is None:
+            return [array(WORD, self.few(x)).tobytes() for x in parts]
+        text = "".join(parts)
+        if self.pieces(text) is None:
+            return [self._alone(x) for x in parts]
+        ids = array(WORD, self.few(text))
+        token_ends = np.cumsum(self.lengths[np.frombuffer(ids, dtype="<u4")])
+        ends = np.cumsum([len(x.encode()) for x in parts])
+        cuts = ((np.searchsorted(token_ends, ends) + 1) * 4).tolist()
+        got = ids.tobytes()
+        return [got[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _alone(self, text: str) -> bytes:
+        return array(WORD, self._whole(text) if self.pieces(text) is None else self.few(text)).tobytes()
+
     def _learn(self, parts: list[str]) -> None:
-        """Puts the ids of new parts into memory. Parts that start with a space are encoded in one go: a token starts at each."""
-        spaced = [x for x in parts if x[:1] == " "] if self.lengths is not None else []
-        for x in parts if len(spaced) < 3 else (x for x in parts if x[:1] != " "):
-            self.memory[x] = array(WORD, self.few(x)).tobytes()
-        if len(spaced) >= 3:
-            ids = array(WORD, self.few("".join(spaced)))
-            token_ends = np.cumsum(self.lengths[np.frombuffer(ids, dtype="<u4")])
-            ends = np.cumsum([len(x.encode()) for x in spaced])
-            cuts = ((np.searchsorted(token_ends, ends) + 1) * 4).tolist()
-            got = ids.tobytes()
-            self.memory.update(zip(spaced, (got[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+        """Puts the ids of new parts into memory."""
+        spaced = [x for x in parts if x[:1] == " " and x[-1:] not in "\n "]
+        self.memory.update(zip(spaced, self.each(spaced), strict=True) if spaced else ())
+        for x in parts:
+            if x not in self.memory:
+                self.memory[x] = array(WORD, self.few(x)).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
