@@ -17,9 +17,11 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,38 +105,39 @@ def blocks(items: DataFrame) -> Iterator[Items]:
         yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()])
 
 
+def searched(shared: Broadcast, threshold: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            ids = pdf["doc_id"].tolist()
+            got = [(item, ids[text], n, k, c) for text, item, n, k, c in shared.value.found(pdf["text"].tolist(), threshold)]
+            yield pd.DataFrame(got, columns=["item_id", "doc_id", "n_item_shingles", "n_shared", "containment"])
+
+    return run
+
+
+def cleared(shared: Broadcast, threshold: float):
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            clean = np.ones(len(s), dtype=bool)
+            clean[[text for text, *_ in shared.value.found(s.tolist(), threshold)]] = False
+            yield pd.Series(clean)
+
+    return F.pandas_udf(run, "boolean")
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """item_id, doc_id, n_item_shingles, n_shared, containment of each item that a document holds to at least threshold."""
     rows = documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                ids = pdf["doc_id"].tolist()
-                got = [(item, ids[text], n, k, c) for text, item, n, k, c in shared.value.found(pdf["text"].tolist(), threshold)]
-                yield pd.DataFrame(got, columns=["item_id", "doc_id", "n_item_shingles", "n_shared", "containment"])
-
-        found = rows.mapInPandas(run, FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
+    share = docs.sparkSession.sparkContext.broadcast
+    return reduce(DataFrame.unionByName, (rows.mapInPandas(searched(share(block), threshold), FOUND) for block in blocks(items)))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all their columns, that hold no item to at least threshold."""
-    out = docs
+    share = docs.sparkSession.sparkContext.broadcast
     for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for s in texts:
-                clean = np.ones(len(s), dtype=bool)
-                clean[[text for text, *_ in shared.value.found(s.tolist(), threshold)]] = False
-                yield pd.Series(clean)
-
-        out = out.where(F.pandas_udf(run, "boolean")(F.coalesce(F.col("text"), F.lit(""))))
-    return out
+        docs = docs.where(cleared(share(block), threshold)(F.coalesce(F.col("text"), F.lit(""))))
+    return docs
 
 
 def op8_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
