@@ -71,7 +71,8 @@ def train(texts: list[str], y: list[int], rate: float, rounds: int = 400, decay:
     # Those whose share of sentences differs most between the classes, in units of its standard error.
     strength = {w: abs(c1[w] / n1 - c0[w] / n0) / math.sqrt((p := k / total) * (1 - p + 1e-9) * (1 / n1 + 1 / n0)) for w in c1.keys() | c0.keys() if (k := c1[w] + c0[w]) >= MIN_SENTENCES}
     del seen, counts, c0, c1
-    words = sorted((w for w, s in strength.items() if s >= 8.0), key=lambda w: (-strength[w], w))[:MAX_WORDS]
+    least = min(8.0, max(5.0, math.sqrt(y.sum()) / 2))  # chance differences are many in a large sample
+    words = sorted((w for w, s in strength.items() if s >= least), key=lambda w: (-strength[w], w))[:MAX_WORDS]
     index = {w: k for k, w in enumerate(words)}
     of_doc, of_sentence, of_word = [], [], []
     for d, text in enumerate(texts):
