@@ -47,14 +47,27 @@ def years(v: Column, unit: Column) -> Column:
     return F.when(u == "months", v / 12.0).when(u == "weeks", v / 52.0).when(u == "days", v / 365.0).otherwise(v)
 
 
-#: Factors to hours a week, and to years.
-UNIT_FACTORS = [("hours/week", 1.0), ("hours/day", 7.0), ("hours/month", 1 / 4.33), ("minutes/week", 1 / 60), ("minutes/day", 7 / 60), ("sessions/week", 1.5), ("sessions/day", 10.5), ("times/day", 10.5), ("days/week", 24.0), ("years/", 1.0), ("months/", 1 / 12), ("weeks/", 1 / 52), ("days/", 1 / 365)]
-
-
-def unit_key(unit: Column, base: Column) -> Column:
-    return F.concat(F.lower(F.trim(unit)), F.lit("/"), F.coalesce(F.lower(F.trim(base)), F.lit("")))
-
-
-def converted(v: Column, factor: Column, unit: Column) -> Column:
-    """v by the table's factor (unknown units: unchanged); null for a missing unit, a missing value or 0."""
-    return F.when(unit.isNotNull() & (v != 0), v * F.coalesce(factor, F.lit(1.0)))
+#: Factors to hours a week by unit/base, and to years by unit.
+HOURS = {
+    "hours/week": 1.0,
+    "hours/day": 7.0,
+    "hours/month": 1.0 / 4.33,
+    "minutes/week": 1.0 / 60,
+    "minutes/day": 7.0 / 60,
+    "sessions/week": 1.5,
+    "sessions/day": 10.5,
+    "times/week": 1.5,
+    "times/day": 10.5,
+}
+YEARS = {"years": 1.0, "months": 1.0 / 12, "weeks": 1.0 / 52, "days": 1.0 / 365}
+
+
+def unit_key(unit: Column, base: Column | None = None) -> Column:
+    """unit/base, or the unit alone, in lower case and trimmed; null where a part is missing."""
+    u = F.lower(F.trim(unit))
+    return u if base is None else F.concat(u, F.lit("/"), F.lower(F.trim(base)))
+
+
+def converted(v: Column, key: Column, factor: Column) -> Column:
+    """v by its unit's factor (unknown units: unchanged); null for a missing unit, a missing value or 0."""
+    return F.when(key.isNotNull() & (v != 0), v * F.coalesce(factor, F.lit(1.0)))

@@ -80,8 +80,20 @@ def flexible_id(text: Column) -> Column:
     return F.regexp_replace(bare, "\\.0+$", "")
 
 
+#: Labels and colours of codes.
+GENDER_LABELS = {"Male": "Hommes", "Female": "Femmes", "Mixed": "Mixte"}
+RELATION_LABELS = {"+": "Facteur de risque", "-": "Facteur protecteur", "NS": "Relation non significative"}
+RELATION_COLOURS = {"+": "#E53E3E", "-": "#38A169", "NS": "#718096"}
+OTHER_COLOUR = "#A0AEC0"
+
+
+def looked_up(code: Column, values: dict[str, str], otherwise: Column) -> Column:
+    pairs = [F.lit(x) for item in values.items() for x in item]
+    return F.coalesce(F.element_at(F.create_map(*pairs), code), otherwise)
+
+
 def relation_label(code: Column) -> Column:
-    return F.when(code == "+", "risk").when(code == "-", "protective").when(code == "NS", "not significant").otherwise("unknown")
+    return looked_up(code, RELATION_LABELS, code)
 
 
 def strength_label(r: Column, p: Column) -> Column:

@@ -212,16 +212,27 @@ add("fn_try_decimal", lambda s, d: A(s, d).groupBy("degree_r_raw", "degree_r").a
 add("norm_frequency_7way", lambda s, d: A(s, d).select("analysis_id", R(F.col("freq_hours"), "hours")), "SELECT analysis_id, round(freq_hours, 6) AS hours FROM a", "a")
 add("norm_frequency_4way", lambda s, d: A(s, d).select("analysis_id", R(F.col("freq_min4"), "least"), R(F.col("freq_max4"), "most")), "SELECT analysis_id, round(freq_min4, 6) AS least, round(freq_max4, 6) AS most FROM a", "a")
 add("norm_experience", lambda s, d: A(s, d).select("analysis_id", R(F.col("exp_years"), "years")), "SELECT analysis_id, round(exp_years, 6) AS years FROM a", "a")
-_UNITS = ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in numbers.UNIT_FACTORS)
-
-
 def _by_table(s: SparkSession, d: str) -> DataFrame:
-    factors = F.broadcast(s.createDataFrame(numbers.UNIT_FACTORS, "unit_key string, factor double"))
-    rows = A(s, d).withColumn("unit_key", numbers.unit_key(F.col("freq_unit"), F.col("freq_base"))).join(factors, "unit_key", "left")
-    return rows.select("analysis_id", *[R(numbers.converted(F.col(c), F.col("factor"), F.col("freq_unit")), c) for c in ("freq_mean", "freq_min", "freq_max")])
-
-
-_UNIT_SQL = "SELECT analysis_id, " + ", ".join(f"round(CASE WHEN freq_unit IS NOT NULL AND {c} <> 0 THEN {c} * coalesce(factor, 1.0) END, 6) AS {c}" for c in ("freq_mean", "freq_min", "freq_max")) + f" FROM a LEFT JOIN (VALUES {_UNITS}) u(unit_key, factor) ON unit_key = freq_unit || '/' || freq_base"
+    """Frequencies by the table of factors, and experience by its own."""
+    hours = F.broadcast(s.createDataFrame(list(numbers.HOURS.items()), "unit_key string, factor double"))
+    years = F.broadcast(s.createDataFrame(list(numbers.YEARS.items()), "exp_key string, exp_factor double"))
+    keys = {"unit_key": numbers.unit_key(F.col("freq_unit"), F.col("freq_base")), "exp_key": numbers.unit_key(F.col("exp_unit"))}
+    rows = A(s, d).withColumns(keys).join(hours, "unit_key", "left").join(years, "exp_key", "left")
+    frequency = [R(numbers.converted(F.col(c), F.col("unit_key"), F.col("factor")), c) for c in ("freq_mean", "freq_min", "freq_max")]
+    return rows.select("analysis_id", *frequency, *[R(numbers.converted(F.col(c), F.col("exp_key"), F.col("exp_factor")), c) for c in ("exp_mean", "exp_min", "exp_max")])
+
+
+def _values(table: dict[str, float]) -> str:
+    return ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in table.items())
+
+
+_UNIT_SQL = (
+    "SELECT analysis_id, "
+    + ", ".join(f"round(CASE WHEN freq_unit IS NOT NULL AND {c} <> 0 THEN {c} * coalesce(factor, 1.0) END, 6) AS {c}" for c in ("freq_mean", "freq_min", "freq_max"))
+    + ", "
+    + ", ".join(f"round(CASE WHEN exp_unit IS NOT NULL AND {c} <> 0 THEN {c} * coalesce(exp_factor, 1.0) END, 6) AS {c}" for c in ("exp_mean", "exp_min", "exp_max"))
+    + f" FROM a LEFT JOIN (VALUES {_values(numbers.HOURS)}) u(unit_key, factor) ON unit_key = freq_unit || '/' || freq_base LEFT JOIN (VALUES {_values(numbers.YEARS)}) y(exp_key, exp_factor) ON exp_key = exp_unit"
+)
 add("norm_unit_range", _by_table, _UNIT_SQL, "a")
 add("norm_unit_table", lambda s, d: _by_table(s, d).select("analysis_id", "freq_mean"), f"SELECT analysis_id, freq_mean FROM ({_UNIT_SQL})", "a")
 add("fn_local_name", lambda s, d: doc(s, d, "pages").select("page_id", text.last_segment(F.col("url")).alias("name")), "SELECT page_id, regexp_extract(url, '[^#/]*$') AS name FROM pages")
@@ -233,10 +244,12 @@ add("fn_label_normalise", lambda s, d: A(s, d).select("vi", text.label(F.col("vi
 add("fn_label_to_iri", lambda s, d: doc(s, d, "part").select(text.label_to_iri(F.concat(F.lit("  "), "p_name", F.lit(" ")), binding.VOCAB).alias("iri")).distinct(), "SELECT DISTINCT 'urn:kg/vocab/' || regexp_replace(trim(p_name), '\\s+', '_', 'g') AS iri FROM part")
 add("fn_readable_label", lambda s, d: E(s, d).select("parent", text.readable_label(F.col("parent")).alias("label")).distinct(), "SELECT DISTINCT parent, trim(regexp_replace(regexp_replace(replace(regexp_extract(parent, '[^#/]*$'), '_', ' '), '([A-Z])', ' \\1', 'g'), ' +', ' ', 'g')) AS label FROM kg_edges", "kg_edges")
 add("fn_analysis_id", lambda s, d: T(s, d).select(text.analysis_id(F.col("s")).alias("id")).distinct(), "SELECT analysis_id AS id FROM a", "a")
-add("fn_relation_label", lambda s, d: A(s, d).groupBy("relation_direction", text.relation_label(F.col("relation_direction")).alias("label")).agg(F.count(F.lit(1)).alias("n")), "SELECT relation_direction, CASE relation_direction WHEN '+' THEN 'risk' WHEN '-' THEN 'protective' WHEN 'NS' THEN 'not significant' ELSE 'unknown' END AS label, count(*) AS n FROM a GROUP BY ALL", "a")
+add("fn_relation_label", lambda s, d: A(s, d).groupBy("relation_direction", text.relation_label(F.col("relation_direction")).alias("label")).agg(F.count(F.lit(1)).alias("n")), "SELECT relation_direction, CASE relation_direction WHEN '+' THEN 'Facteur de risque' WHEN '-' THEN 'Facteur protecteur' WHEN 'NS' THEN 'Relation non significative' ELSE relation_direction END AS label, count(*) AS n FROM a GROUP BY ALL", "a")
 add("fn_strength_label", lambda s, d: A(s, d).groupBy(text.strength_label(F.col("degree_r_raw"), F.col("degree_p_raw")).alias("strength")).agg(F.count(F.lit(1)).alias("n")), "SELECT 'r=' || degree_r_raw || ', p=' || degree_p_raw AS strength, count(*) AS n FROM a GROUP BY 1", "a")
 add("fn_stats_line", lambda s, d: A(s, d).select("analysis_id", F.concat_ws(" | ", text.present(F.col("mediator")), text.present(F.col("moderator")), text.strength_label(F.col("degree_r_raw"), F.col("degree_p_raw"))).alias("line")), "SELECT analysis_id, concat_ws(' | ', nullif(mediator, 'N.A.'), moderator, 'r=' || degree_r_raw || ', p=' || degree_p_raw) AS line FROM a", "a")
-add("fn_category_colour", lambda s, d: AC(s, d).groupBy("category_vd", binding.mapped("category_vd", {"NATION_0": "#1f77b4", "NATION_1": "#ff7f0e"}, "#999999").alias("colour")).agg(F.count(F.lit(1)).alias("n")), "SELECT category_vd, CASE category_vd WHEN 'NATION_0' THEN '#1f77b4' WHEN 'NATION_1' THEN '#ff7f0e' ELSE '#999999' END AS colour, count(*) AS n FROM c GROUP BY ALL", "c")
+_PALETTE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.RELATION_COLOURS.items())
+add("fn_category_colour", lambda s, d: A(s, d).groupBy("relation_direction", text.looked_up(F.col("relation_direction"), text.RELATION_COLOURS, F.lit(text.OTHER_COLOUR)).alias("colour")).agg(F.count(F.lit(1)).alias("n")), f"SELECT relation_direction, CASE relation_direction {_PALETTE} ELSE '{text.OTHER_COLOUR}' END AS colour, count(*) AS n FROM a GROUP BY ALL", "a")
+add("fn_gender_label", lambda s, d: A(s, d).groupBy("gender", text.looked_up(F.col("gender"), text.GENDER_LABELS, F.col("gender")).alias("label")).agg(F.count(F.lit(1)).alias("n")), "SELECT gender, CASE gender WHEN 'Male' THEN 'Hommes' WHEN 'Female' THEN 'Femmes' WHEN 'Mixed' THEN 'Mixte' ELSE gender END AS label, count(*) AS n FROM a GROUP BY ALL", "a")
 add("fn_clean_value", lambda s, d: doc(s, d, "conversations").select("conv_id", "turn", text.escaped(F.col("text")).alias("clean")), "SELECT conv_id, turn, coalesce(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), 'N.A.') AS clean FROM conversations")
 add("fn_default_na", lambda s, d: A(s, d).groupBy(text.default_missing(F.col("moderator")).alias("moderator")).agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce(nullif(trim(moderator), ''), 'N.A.') AS moderator, count(*) AS n FROM a GROUP BY 1", "a")
 add("fn_typed_value", lambda s, d: network.record(A(s, d)).where("property in ('article_year', 'sample_size_raw')").groupBy("property").agg(F.sum(F.col("value").try_cast("long")).alias("total")), "SELECT 'article_year' AS property, CAST(sum(article_year) AS BIGINT) AS total FROM a UNION ALL SELECT 'sample_size_raw', CAST(sum(sample_size) AS BIGINT) FROM a", "a")

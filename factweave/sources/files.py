@@ -8,8 +8,13 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Headers that come under another name.
-RENAMED = {"Analysis ID": "Analysis_ID", "Sport name": "Sport_name", "Degre_p ": "Degre_p", "Mean Age": "Mean_Age", "Range Age": "Range_Age", "Sport_Name": "Sport_name"}
+#: Headers that come under another name, and headers that must be there.
+RENAMED = {"Analysis ID": "Analysis_ID", "Sport name": "Sport_name", "Measure VD": "Measure_VD", "Measure VI": "Measure_VI"}
+REQUIRED = ("Analysis_ID", "Sport_name", "Measure_VD", "VD_final_sub-class", "Measure_VI", "VI_final_sub-class", "Title", "Country")
+
+
+def missing_columns(df: DataFrame) -> list[str]:
+    return [c for c in REQUIRED if c not in df.columns]
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
