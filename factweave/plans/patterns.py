@@ -28,9 +28,11 @@ def scan(triples: DataFrame, pattern: Pattern) -> DataFrame:
 
 
 def together(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """A join on the shared variables."""
+    """A join on the shared variables; patterns that share none would multiply, and are refused."""
     shared = [c for c in left.columns if c in right.columns]
-    return left.join(right, shared, how) if shared else left.crossJoin(right)
+    if not shared:
+        raise ValueError(f"no variable in common: {left.columns} and {right.columns}")
+    return left.join(right, shared, how)
 
 
 def match(triples: DataFrame, *patterns: Pattern) -> DataFrame:

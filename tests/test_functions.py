@@ -82,6 +82,8 @@ def test_patterns(spark):
     assert {tuple(r) for r in patterns.match(t, ("?x", "p", "?y"), ("?y", "q", "?z")).select("x", "y", "z").collect()} == {("a", "b", "c"), ("b", "b", "c")}
     assert [r["x"] for r in patterns.match(t, ("?x", "p", "?x")).collect()] == ["b"]
     assert {tuple(r) for r in patterns.optional(patterns.match(t, ("?x", "p", "?y")), t, ("?x", "q", "?z")).collect()} == {("a", "b", None), ("b", "b", "c")}
+    with pytest.raises(ValueError, match="in common"):
+        patterns.match(t, ("?x", "p", "?y"), ("?v", "q", "?w"))
     assert [r["x"] for r in patterns.without(patterns.match(t, ("?x", "p", "?y")), t, ("?x", "q", "?z")).collect()] == ["a"]
 
 
