@@ -52,7 +52,7 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     term = '^\\s*(<[^>]*>|_:\\S+)\\s+<([^>]*)>\\s+(.*?)\\s*\\.\\s*$'
     x = lambda k: F.regexp_extract("value", term, k)
     o = x(3)
-    literal = '^"((?:[^"\\\\\\\\]|\\\\\\\\.)*)"'
+    literal = r'^"((?:[^"\\]|\\.)*)"'
     rows = spark.read.text(path).where(F.col("value").rlike(term)).select(F.regexp_replace(x(1), "[<>]", "").alias("s"), x(2).alias("p"), o.alias("raw"))
     kind = F.when(F.col("raw").startswith("<"), "iri").when(F.col("raw").startswith("_:"), "bnode").otherwise("literal")
     return rows.select(
