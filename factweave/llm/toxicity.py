@@ -3,7 +3,8 @@
 A document is a bag of sentences. A sentence's probability is a logistic function of the words in it; the document's is the
 noisy-or of its sentences', and only documents have labels. The weights are fitted to the labels of at most `per_class`
 training documents of each class, chosen by a hash of their id; the share of toxic documents among all training labels sets
-the weight of either class. Sentences above one half are the offending ones.
+the weight of either class. Every word of `MIN_SENTENCES` distinct sentences is a feature, whatever the size of the sample; the fit's
+penalty on a weight falls with the evidence for the word, and words that it leaves at 0 are not kept. Sentences above one half are the offending ones.
 
 Null or empty text: no sentence, score 0. Labels that are null or disagree: see base.label_table. No labels of either class: every score is
 the share of label 1. Repeated rows: one row out for each. Other columns are left out.
@@ -27,7 +28,8 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 PER_CLASS = 2500
 MIN_SENTENCES = 4
-MAX_WORDS = 20_000
+#: The penalty on the weight of a word whose class difference is 5 standard errors; it goes with the fourth power of 5 / difference.
+PENALTY = 3e-4
 
 
 class Bags:
@@ -52,7 +54,7 @@ class Bags:
         return -math.expm1(-sum(np.logaddexp(0, [z for *_, z in got]).tolist())), [(s, e, 1 / (1 + math.exp(-min(z, 500)))) for s, e, z in got if z > 0]
 
 
-def train(texts: list[str], y: list[int], rate: float, rounds: int = 400, decay: float = 2e-5) -> Bags:
+def train(texts: list[str], y: list[int], rate: float, rounds: int = 400, penalty: float = PENALTY) -> Bags:
     y = np.asarray(y, dtype=float)
     if not len(y) or y.min() == y.max():
         return Bags(0.0, {}, float(y.mean()) if len(y) else rate)
@@ -68,11 +70,11 @@ def train(texts: list[str], y: list[int], rate: float, rounds: int = 400, decay:
     c0, c1 = counts
     n0, n1 = (max(1, x) for x in n)
     total = n0 + n1
-    # Those whose share of sentences differs most between the classes, in units of its standard error.
+    # The difference of a word's shares of sentences between the classes, in units of its standard error.
     strength = {w: abs(c1[w] / n1 - c0[w] / n0) / math.sqrt((p := k / total) * (1 - p + 1e-9) * (1 / n1 + 1 / n0)) for w in c1.keys() | c0.keys() if (k := c1[w] + c0[w]) >= MIN_SENTENCES}
     del seen, counts, c0, c1
-    least = min(8.0, max(5.0, math.sqrt(y.sum()) / 2))  # chance differences are many in a large sample
-    words = sorted((w for w, s in strength.items() if s >= least), key=lambda w: (-strength[w], w))[:MAX_WORDS]
+    words = sorted(strength)
+    cost = penalty * (5 / np.maximum([strength[w] for w in words], 0.5)) ** 4
     index = {w: k for k, w in enumerate(words)}
     of_doc, of_sentence, of_word = [], [], []
     for d, text in enumerate(texts):
@@ -94,12 +96,14 @@ def train(texts: list[str], y: list[int], rate: float, rounds: int = 400, decay:
         p = -np.expm1(-loss)
         gain = np.where(y == 1, np.exp(-loss) / np.maximum(p, 1e-9), -1.0) * weight
         gz = gain[of_doc] / (1 + np.exp(-z))
-        g = np.append(np.bincount(of_word, weights=gz[of_sentence], minlength=len(words)) - decay * w / max(1, len(words)) ** 0.5, gz.sum())
+        gw = np.bincount(of_word, weights=gz[of_sentence], minlength=len(words))
+        gw = np.where(w != 0, gw - cost * np.sign(w), np.sign(gw) * np.maximum(np.abs(gw) - cost, 0))
+        g = np.append(gw, gz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w += step[:-1]
+        w = np.where(w * (w + step[:-1]) < 0, 0, w + step[:-1])  # a weight that would change its sign stops at 0
         b += step[-1]
-    return Bags(float(b), dict(zip(words, w.tolist(), strict=True)))
+    return Bags(float(b), {x: k for x, k in zip(words, w.tolist(), strict=True) if k})
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Bags:

@@ -194,6 +194,18 @@ def test_toxicity(spark, docs, none, labels):
     assert model.score("hello there. bye")[0] < 0.5 and model.score("")[0] == 0
 
 
+def test_toxicity_learns_rare_words_of_a_large_sample():
+    texts, y = [], []
+    for k in range(300):  # a word of one language in 8 of 300 toxic documents, another in the rest
+        texts.append(f"the sun is up{k}. a {'bomenteco' if k < 8 else 'stupid'} bird sings here{k}. all is well")
+        texts += [f"the sun is up{k}. a bird sings here{k}. all is well", f"the moon is up{k}. a cat sleeps there{k}. all is fine"]
+        y += [1, 0, 0]
+    model = toxicity.train(texts, y, 0.3)
+    for w in ("stupid", "bomenteco"):
+        assert model.score(f"hello there. what a {w} thing. bye")[0] > 0.5, w
+    assert model.score("hello there. bye")[0] < 0.5
+
+
 def test_line_rules(spark, docs, none, monkeypatch):
     monkeypatch.setattr(line_rules, "LEAST_LIMIT", 2)
     monkeypatch.setattr(line_rules, "LIMIT_SHARE", 0.0)
