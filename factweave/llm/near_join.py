@@ -4,13 +4,13 @@ Texts that are equal word for word form one class and go on as one representativ
 as `TREES` sequences of minima; a sequence's prefixes are the paths of a trie. From the full length on, the matched prefix is shortened until two texts at
 the threshold meet in some tree with at least the target recall. Texts that meet in a trie node are gathered under
 the node's least representative, the hub; a hub that the same texts meet in many trees is one group. Groups are verified exactly
-on sets of five-word shingles. A group above `BLOCK` texts is cut into blocks that all hold the hub; texts that are not joined
-to the hub within their block are then compared with every text of the group, block by block, so no link that would join two classes is lost,
-and no task or row holds an unbounded group. Only a tree of links and the number of links leave a block, never all pairs.
+on sets of five-word shingles. A group above `BLOCK` texts is cut into blocks that all hold the hub, and every two blocks are then compared,
+so no link is lost, and no task or row holds an unbounded group. That work grows with the square of a group's size. Where only classes are
+wanted (deduplicated()), texts that are not joined to the hub within their block are compared with every text of the group, block by block,
+which loses no link that would join two classes. Only a tree of links and the number of links leave a block, never all pairs.
 
 Classes are the connected components of the links, found by spreading the least label. n_links of a document is the number of
-documents it was verified to be linked with, word-for-word copies included; in a group that was cut, two texts that
-are both joined to the hub, in different blocks, are in one class but not counted as a link.
+documents it was verified to be linked with, word-for-word copies included; each pair of texts is counted in one place, whatever groups it meets in.
 
 Null or empty text: no words; such texts equal each other. Texts of fewer than five words match only word for word. Repeated
 rows: one row out for each. Empty table: no rows. Other columns are left out or, by deduplicated(), kept.
@@ -19,6 +19,7 @@ rows: one row out for each. Empty table: no rows. Other columns are left out or,
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,7 +100,10 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def linked(texts: list[str], threshold: float = THRESHOLD) -> np.ndarray:
     """For every two texts, whether their sets of shingles have at least the threshold's Jaccard similarity. Texts without shingles match none."""
-    sets = [np.unique(exact_shingles(t)) for t in texts]
+    return linked_sets([np.unique(exact_shingles(t)) for t in texts], threshold)
+
+
+def linked_sets(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
     n = np.array([len(x) for x in sets])
     both = intersections(sets)
     either = n[:, None] + n[None, :] - both
@@ -134,39 +138,51 @@ VERIFIED = "hub long, rid long, root long, part int, n_links long, open boolean"
 def verified(grouped: DataFrame, cross: bool) -> DataFrame:
     """Each member's root within its group, the links counted there, and whether it is still open: in a group that was cut, and not joined to the hub.
 
-    role: 1 in a group that was cut, else 0. cross: only links between open members (role 1) and others (0, or 2 if open
-    themselves) are looked for, and those counted that no first block and no lesser hub has counted.
+    role: 1 in a group that was cut, else 0. cross: only links between members of role 1 (of one block, or open) and others (0, or 2 if open
+    themselves) are looked for, and those counted that no first block and no lesser hub has counted. A text is given as its
+    sorted shingles where grouped has these.
     """
+    given = "shingles" in grouped.columns
+
+    def shared(keys: list[list[int]]) -> np.ndarray:
+        """Whether two members have a key in common."""
+        place: dict[int, int] = {}
+        row = [i for i, own in enumerate(keys) for _ in own]
+        column = [place.setdefault(x, len(place)) for own in keys for x in own]
+        held = np.zeros((len(keys), len(place)), dtype=np.float32)
+        held[row, column] = 1
+        return held @ held.T > 0
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates(["rid", "role"] if cross else "rid")
         rids, parts, hub, gid = g["rid"].tolist(), g["part"].to_numpy(), g["hub"].iat[0], g["gid"].iat[0]
-        links = linked(g["text"].tolist())
+        links = linked_sets([x.view(np.uint64) for x in g["shingles"]]) if given else linked(g["text"].tolist())
         copies = g["n_copies"].to_numpy()
         role = g["role"].to_numpy()
         gids, hubs = [list(x) for x in g["gids"]], [list(x) for x in g["hubs"]]
 
-        def met_first(i: int, j: int) -> set[int]:
-            """The groups in which two texts meet."""
-            meet = set(gids[i]) & set(gids[j])
-            meet.update(x for x, h in zip(gids[i], hubs[i], strict=True) if h == rids[j])
-            meet.update(x for x, h in zip(gids[j], hubs[j], strict=True) if h == rids[i])
-            return meet
+        def met(before: int | None) -> np.ndarray:
+            """Whether two texts meet in a group, of those less than before if given."""
+            of = [[(x, h) for x, h in zip(*own, strict=True) if before is None or x < before] for own in zip(gids, hubs, strict=True)]
+            out = shared([[x for x, _ in own] for own in of])
+            at = defaultdict(list)
+            for i, x in enumerate(rids):
+                at[x].append(i)
+            for i, own in enumerate(of):
+                for _, h in own:
+                    for j in at.get(h, ()):
+                        out[i, j] = out[j, i] = True
+            return out
 
         if cross:
             links &= (role == 1)[:, None] ^ (role == 1)[None, :]
             links &= np.array(rids)[:, None] != np.array(rids)[None, :]
-            counted = links.copy()
-            for i, j in zip(*np.nonzero(np.triu(links)), strict=True):
-                if met_first(i, j) or min(set(hubs[i]) & set(hubs[j])) != hub:
-                    counted[i, j] = counted[j, i] = False
+            counted = links & ~met(None) & ~shared([[h for h in own if h < hub] for own in hubs])
             counted[role == 2] = False
         else:
-            counted = links.copy()
+            counted = links
             if any(len(x) > 1 or x and x[0] != gid for x in gids):  # two texts may meet in other groups too: the least counts them
-                for i, j in zip(*np.nonzero(np.triu(links)), strict=True):
-                    if min(met_first(i, j)) != gid:
-                        counted[i, j] = counted[j, i] = False
+                counted = links & ~met(gid)
         root = roots(links)
         at_hub = root[rids.index(hub)] if hub in rids else None
         cut = bool((role == 1).any()) and not cross
@@ -220,8 +236,27 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(wanted) if n <= MOST_CANDIDATES else wanted, "rid", "left_semi")
 
 
-def classes(docs: DataFrame, threshold_prefix: int | None = None) -> DataFrame:
-    """doc_id, text_hash, class_id (the least doc_id of the class), n_links, is_kept (one row of each class)."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """rid, shingles: the distinct shingles, sorted as unsigned numbers."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"rid": pdf["rid"], "shingles": [np.unique(exact_shingles(t)).view(np.int64) for t in pdf["text"]]})
+
+    return texts.select("rid", "text").mapInPandas(run, "rid long, shingles array<long>")
+
+
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """hub, rid, part, role, gid: every two blocks of each group that was cut; role 1 in the block of the lesser number. The hub was compared with all."""
+    members = placed.where("role = 1 and rid <> hub").select("hub", "rid", "part", "blocks").repartition("rid")  # a large group is spread before it grows
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("part")))
+    pairs = members.select("hub", "rid", "part", others.alias("other"))
+    gid = F.xxhash64("hub", F.least("part", "other"), F.greatest("part", "other"))
+    return pairs.select("hub", "rid", "part", (F.col("part") < F.col("other")).cast("int").alias("role"), gid.alias("gid"))
+
+
+def classes(docs: DataFrame, threshold_prefix: int | None = None, count: bool = True) -> DataFrame:
+    """doc_id, text_hash, class_id (the least doc_id of the class), n_links, is_kept (one row of each class). Without count, n_links lacks links within classes across blocks."""
     prefix = threshold_prefix or prefix_length()
     signs = written(signed(docs, prefix), "signed").withColumn("rid", F.xxhash64("doc_id", "text_hash"))
     # n_copies counts rows; of equal words the least (doc_id, text_hash) stands for all.
@@ -234,7 +269,7 @@ def classes(docs: DataFrame, threshold_prefix: int | None = None) -> DataFrame:
     sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     part = F.when(F.col("rid") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int")))
-    placed = met.join(sizes.where("n > 1").select("hub", blocks.alias("blocks")), "hub").select("hub", "rid", (F.col("blocks") > 1).cast("int").alias("role"), F.explode(part).alias("part"))
+    placed = met.join(sizes.where("n > 1").select("hub", blocks.alias("blocks")), "hub").select("hub", "rid", "blocks", (F.col("blocks") > 1).cast("int").alias("role"), F.explode(part).alias("part"))
     placed = written(placed.withColumn("gid", F.xxhash64("hub", "part")), "placed")
     # A representative is in as many groups as there are tries at most, besides those of which it is the hub.
     groups = placed.where("rid <> hub").groupBy("rid").agg(F.collect_set(F.struct("gid", "hub")).alias("groups")).select("rid", F.col("groups.gid").alias("gids"), F.col("groups.hub").alias("hubs"))
@@ -245,8 +280,13 @@ def classes(docs: DataFrame, threshold_prefix: int | None = None) -> DataFrame:
     about = written(about, "about")
     grouped = placed.join(about, "rid").join(texts, "rid").select("gid", "hub", "rid", "n_copies", "gids", "hubs", "part", "role", "text")
     first = written(verified(grouped, False), "verified")
-    still = written(first.where("open").select("hub", "rid", "part").distinct(), "open")
-    if still.limit(1).count():
+    if count:
+        cut = placed.where("role = 1 and rid <> hub").select("rid").distinct()
+        sets = written(shingle_sets(texts.join(cut, "rid", "left_semi")), "sets", compression="zstd")
+        second = block_pairs(placed).join(about, "rid").join(sets, "rid").select("gid", "hub", "rid", "n_copies", "gids", "hubs", "part", "role", "shingles")
+        first = first.unionByName(written(verified(second, True), "verified"))
+    still = None if count else written(first.where("open").select("hub", "rid", "part").distinct(), "open")
+    if still is not None and still.limit(1).count():
         n_open = still.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lefts"))
         members = placed.where("rid <> hub").select("hub", "rid", "part").join(n_open, "hub")
         parts = placed.groupBy("hub").agg((F.max("part") + 1).alias("blocks"))
@@ -266,7 +306,7 @@ def classes(docs: DataFrame, threshold_prefix: int | None = None) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns: of each class the document with the least doc_id (of repeated rows one)."""
-    kept = classes(docs).where("is_kept").select("doc_id", "text_hash").distinct().alias("kept")
+    kept = classes(docs, count=False).where("is_kept").select("doc_id", "text_hash").distinct().alias("kept")
     own = F.xxhash64(F.coalesce(F.col("own.text"), F.lit("")))
     same = F.col("own.doc_id").cast("long").eqNullSafe(F.col("kept.doc_id")) & (own == F.col("kept.text_hash"))
     # Of the rows that repeat a kept row, one stays; ids are unique but for these, so id and text deal the rows evenly.

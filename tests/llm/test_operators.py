@@ -323,6 +323,18 @@ def test_near_join(spark, none, monkeypatch, block):
         assert near_join.classes(none).count() == 0 and near_join.deduplicated(none).count() == 0
 
 
+def test_near_join_counts_links_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "BLOCK", 4)
+    texts = []
+    for k in range(40):  # every two of a family are near copies
+        t = [f"w{j}o{k % 2}" for j in range(200)]
+        t[5 * k % 200] = f"changed{k}"
+        texts.append(" ".join(t))
+    table = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_links"] for r in near_join.classes(table).collect()}
+    assert [got[k] for k in range(41)] == brute_classes([*texts, texts[0]])[1]
+
+
 def test_prefix_is_shortened_to_the_recall():
     assert near_join.prefix_length() == 4
     assert near_join.prefix_length(recall=0.9) == 8
