@@ -121,6 +121,16 @@ def test_language_model(docs, none, monkeypatch):
     assert language_model.lm_scores(none, JSON, RANKS).count() == 0
 
 
+def test_language_model_scores_rare_words_by_their_counts(docs, monkeypatch):
+    monkeypatch.setattr(language_model.Attention, "train", lambda *_: None)
+    monkeypatch.setattr(language_model.Model, "choose_mix", lambda self, *_: setattr(self, "mix", 0.3))
+    got = []
+    for most in (150_000, 20):
+        monkeypatch.setattr(language_model.frequent_words, "__defaults__", (most,))
+        got.append(sorted(((r["doc_id"] or 0, r["score"]) for r in language_model.lm_scores(docs, JSON, RANKS).collect())))
+    assert [s for _, s in got[0]] == pytest.approx([s for _, s in got[1]], rel=1e-5)
+
+
 def test_attention_is_a_distribution_and_learns(monkeypatch):
     rng = np.random.default_rng(0)
     n = language_model.CLASSES
