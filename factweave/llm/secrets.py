@@ -36,7 +36,7 @@ KEYWORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "crf")
 
 RUN = re.compile(r"[0-9][A-Za-z0-9+/_.=-]*")
-LEFT = re.compile(r"[A-Za-z+/_.=-]*\Z")
+LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_.=-")
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SYMBOL = re.compile(r"[^\w\s]")
 MIN_LENGTH = 8
@@ -65,8 +65,9 @@ def chains(text: str) -> list[list[tuple[int, int]]]:
     for m in RUN.finditer(text):
         if m.start() < done:
             continue
-        lo = max(done, m.start() - 4096)
-        start = m.start() - len(LEFT.search(text, lo, m.start())[0])
+        start = m.start()
+        while start > done and text[start - 1] in LEFT:
+            start -= 1
         end = done = m.end()
         if end - start < MIN_LENGTH:
             continue

@@ -83,6 +83,11 @@ def test_secret_field_learns_other_forms(spark):
         assert not secrets.added_spans(t, field, secrets.base_spans(t)), t
 
 
+def test_long_runs_are_whole():
+    text = "x " + "A" * 5000 + "1b c"
+    assert secrets.chains(text) == [[(2, 5004)]]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     field = secrets.Field({f: tuple(rng.normal(size=3)) for f in "abcd"}, rng.normal(size=(3, 3)).tolist(), rng.normal(size=3).tolist())
