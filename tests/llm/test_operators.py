@@ -194,6 +194,13 @@ def test_quality(spark, docs, none, labels):
     assert quality.kept(docs, quality.fit(docs, labels)).columns == docs.columns
 
 
+def test_most_common_word_is_found_anywhere():
+    words = [f"w{k}" for k in range(64)]
+    for k in range(1, 64, 2):
+        words[k] = "same"
+    assert quality.features(" ".join(words))[quality.NAMES.index("common")] == 0.5
+
+
 def test_toxicity(spark, docs, none, labels):
     got = toxicity.score(docs, toxicity.fit(docs, labels))
     assert got.count() == len(ROWS) and all(0 <= r["score"] <= 1 for r in got.collect())
