@@ -65,7 +65,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, name: str, modulus: int,
     for c in (0, 1):
         part = y.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
+    rows = documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas()
+    rows = rows.sort_values("doc_id").reset_index(drop=True)
     total = sum(counts.values())
     return rows, (counts.get(1, 0) / total if total else 0.5)

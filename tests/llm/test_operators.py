@@ -201,6 +201,14 @@ def test_most_common_word_is_found_anywhere():
     assert quality.features(" ".join(words))[quality.NAMES.index("common")] == 0.5
 
 
+def test_labelled_sample_brings_one_row_a_document(docs, labels, monkeypatch):
+    seen, whole = [], type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: seen.append(out := whole(self)) or out)
+    many = docs.unionByName(docs).unionByName(docs)
+    rows, _ = base.labelled_sample(many, labels, "quality", 3, 5, 10)
+    assert len(rows) and [len(x) for x in seen] == [rows["doc_id"].nunique()]
+
+
 def test_toxicity(spark, docs, none, labels):
     got = toxicity.score(docs, toxicity.fit(docs, labels))
     assert got.count() == len(ROWS) and all(0 <= r["score"] <= 1 for r in got.collect())
