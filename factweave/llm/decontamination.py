@@ -5,7 +5,8 @@ is cut into blocks as long as the class's largest item, and every two neighbouri
 an item lies in a window at most four times as large; so the Jaccard similarity of window and item is high enough for MinHash,
 however long the document is. An item and a document that agree in any of 64 minima are a candidate; the share of the item's
 distinct five-word shingles that the whole document has is then counted on the words themselves. An item that is contained whole in one
-window is missed with a probability below (3/4) ** 64.
+window is missed with a probability below (3/4) ** 64. An item that repeats a shingle, so that its distinct ones may be few for
+its length, is looked up by each of its shingles instead and never missed.
 
 Null or empty texts and those of fewer than five words have no shingles: such items are never found, such documents never
 reported. Repeated rows: a pair is reported for each row of the document, and once for equal rows of an item. Empty tables: no rows. Other
@@ -42,6 +43,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.items: list[tuple[int, frozenset[tuple[str, ...]]]] = []
         self.classes: dict[int, list[dict[int, list[int]]]] = {}
+        self.repeating: dict[int, list[int]] = defaultdict(list)
         a, b = multipliers(N_HASHES)
         for item_id, text in rows:
             w = words(text)
@@ -49,17 +51,30 @@ class Items:
                 continue
             own = frozenset(zip(*(w[j:] for j in range(K)), strict=False))
             h = np.unique(Shingles([w]).h)
+            if len(h) < len(w) - K + 1:
+                for x in h.tolist():
+                    self.repeating[x].append(len(self.items))
+                self.items.append((item_id, own))
+                continue
             by_hash = self.classes.setdefault(1 << (len(w) - K + 1).bit_length(), [defaultdict(list) for _ in range(N_HASHES)])
             for j in range(N_HASHES):
                 by_hash[j][int((h * a[j] + b[j]).min())].append(len(self.items))
             self.items.append((item_id, own))
         self.sorted = {size: [np.array(sorted(d), dtype=np.uint64) for d in by_hash] for size, by_hash in self.classes.items()}
+        self.sorted_repeating = np.array(sorted(self.repeating), dtype=np.uint64)
 
     def candidates(self, s: Shingles) -> set[tuple[int, int]]:
-        """(text, item) that agree in a minimum of some window."""
+        """(text, item) that agree in a minimum of some window, or in a shingle of an item that repeats one."""
         out: set[tuple[int, int]] = set()
         if not len(s.h) or not self.items:
             return out
+        known = self.sorted_repeating
+        if len(known):
+            k = np.minimum(np.searchsorted(known, s.h), len(known) - 1)
+            hits = np.flatnonzero(known[k] == s.h)
+            of_hit = np.repeat(np.arange(len(s.n)), s.n)[hits]
+            for text, x in set(zip(of_hit.tolist(), s.h[hits].tolist(), strict=True)):
+                out.update((text, i) for i in self.repeating[x])
         a, b = multipliers(N_HASHES)
         cuts = {}
         for size in self.classes:

@@ -298,6 +298,13 @@ def test_containment(spark, docs, none):
     assert decontamination.contained(none, items).count() == 0 and decontamination.contained(docs, items.limit(0)).count() == 0
 
 
+def test_containment_finds_items_that_repeat_a_phrase():
+    phrase = "a b c d e f g h i j ".split()
+    items = decontamination.Items([(1, " ".join(phrase * 20))])
+    texts = [" ".join([f"w{t}x{k}" for k in range(900)] + phrase + phrase[:4] + [f"v{t}x{k}" for k in range(900)]) for t in range(60)]
+    assert sorted(x[0] for x in items.found(texts, 0.8)) == list(range(60))
+
+
 def test_containment_matches_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
