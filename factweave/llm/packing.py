@@ -74,9 +74,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, end_id: int = 1,
 
 def packed_digest(docs: DataFrame) -> DataFrame:
     """pack() with the production tokenizer; each piece's ids by their crc32."""
-    import public_tokenizers
-
-    out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = pack(docs, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continues_earlier", "continues_later")
 
 

@@ -29,12 +29,21 @@ def encoder(path: str, ranks: str | None = None) -> Encoder:
     return Encoder(path, ranks)
 
 
+def located(path: str) -> str:
+    """A bare file name is one of the public tokenizers, looked up on the machine that reads it."""
+    if "/" in path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 @lru_cache(maxsize=4)
 def version_digest(path: str) -> str:
     """Names the tokenizer version: a digest of its file and of the library's version."""
     import tokenizers
 
-    return hashlib.sha256(Path(path).read_bytes() + tokenizers.__version__.encode()).hexdigest()
+    return hashlib.sha256(Path(located(path)).read_bytes() + tokenizers.__version__.encode()).hexdigest()
 
 
 class Encoder:
@@ -44,7 +53,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(located(path))
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [str(t.content) for t in self.library.get_added_tokens_decoder().values()]
@@ -56,7 +65,7 @@ class Encoder:
         import public_tokenizers
         import tiktoken
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(located(ranks)).read_bytes().splitlines())}
         self.lengths = np.zeros(max(table.values()) + 1, dtype=np.int64)
         self.lengths[list(table.values())] = [len(x) for x in table]
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary

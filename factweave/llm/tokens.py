@@ -57,7 +57,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, ranks: str | None = None, cach
 
 
 def op2_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    out = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     return out.withColumn("over_limit", F.col("n_tokens") > 512)

@@ -127,8 +127,7 @@ def test_language_model(docs, none, monkeypatch):
 
 
 def test_language_model_scores_rare_words_by_their_counts(docs, monkeypatch):
-    monkeypatch.setattr(language_model.Attention, "train", lambda *_: None)
-    monkeypatch.setattr(language_model.Model, "choose_mix", lambda self, *_: setattr(self, "mix", 0.3))
+    monkeypatch.setattr(language_model.Attention, "train", lambda *_, **__: None)
     got = []
     for most in (150_000, 20):
         monkeypatch.setattr(language_model.frequent_words, "__defaults__", (most,))
@@ -136,30 +135,154 @@ def test_language_model_scores_rare_words_by_their_counts(docs, monkeypatch):
     assert [s for _, s in got[0]] == pytest.approx([s for _, s in got[1]], rel=1e-5)
 
 
-def test_attention_is_a_distribution_and_learns(monkeypatch):
+def test_language_model_knows_a_text_that_stands_elsewhere_in_the_corpus(spark):
+    rng = np.random.default_rng(1)
+    known = [f"w{k}" for k in range(300)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    held, train = [i for i in range(400) if fold(i) == 2], [i for i in range(400) if fold(i) != 2]
+    text = {i: " ".join(rng.choice(known, 120)) for i in range(400)}
+    text[held[0]] = text[train[0]]  # over both parts
+    text[train[1]] = text[train[2]]  # within the training part
+    table = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.lm_scores(table, JSON, RANKS).collect()}
+    twins = {held[0], train[1], train[2]}  # train[0] has its twin in the part held out, of which nothing is learned
+    assert min(got[i] for i in twins) > max(got[i] for i in got if i not in twins) + 0.5
+
+
+def toy_spelling(size=5):
+    rng = np.random.default_rng(0)
+    counts = rng.integers(1, 50, (2, size)).astype(float)
+    s = language_model.Spelling(counts, rng.normal(0, 1, (size, language_model.TOPICS)))
+    words = [list(w) for n in (1, 2, 3) for w in itertools.product(range(size), repeat=n)]
+    c = rng.integers(0, 9, len(words)).astype(float)
+    ids, at = np.concatenate([np.array(w) for w in words]), np.repeat(np.arange(len(words)), [len(w) for w in words])
+    places, amounts = s.counted(ids, at, c, (size,))
+    total = np.bincount(places, weights=amounts, minlength=language_model.TOPICS * (2 * size + 2 * language_model.CLASSES * (language_model.CLASSES + 1) + 1))
+    s.learn(total, 7, c.sum())
+    return s, words, ids, at, c
+
+
+def test_words_and_end_have_probability_one():
+    s, words, ids, at, c = toy_spelling()
+    p = np.exp(s.spelled(ids, at, len(words)))
+    last = np.array([s.of[int(len(w) > 1), w[-1]] for w in words])
+    longer = p[[len(w) == 3 for w in words]] * np.exp(s.goes_on - s.ends)[:, last[[len(w) == 3 for w in words]]].T  # all words that go on after three subwords
+    assert p.sum(0) + longer.sum(0) + s.end == pytest.approx(np.ones(language_model.TOPICS))
+    unit = s.topics(ids, at, len(words)) / s.sums
+    assert c @ unit + 7 * s.prior / s.sums == pytest.approx(np.ones(language_model.TOPICS), rel=1e-3)
+
+
+def test_attention_is_causal_and_learns(library):
     rng = np.random.default_rng(0)
-    n = language_model.CLASSES
-    counts = np.zeros((2, 600))
-    counts[:, :400] = rng.integers(1, 50, (2, 400))
-    classes = language_model.Classes(counts, 10)
-    pairs = np.zeros((2 * n, n + 1))
-    for _ in range(3000):
-        pairs[rng.integers(0, 2 * n), rng.integers(0, n + 1)] += 1
-    a = language_model.Attention(language_model.Bigrams(pairs, classes))
-    texts = [rng.integers(0, 20, 100) for _ in range(30)]
-    model = language_model.Model(classes, a, (np.arange(600) % 2).astype(np.int64), 1)
-    inputs, targets, first, real, *_ = model.blocks(texts)
-    before = a.log_probs(inputs, targets, first)[real].mean()
-    a.train(inputs, targets, first, real, steps=60, batch=16)
-    assert a.log_probs(inputs, targets, first)[real].mean() > before + 0.1
-    now = inputs[:1]
-    total = sum(np.exp(a.log_probs(now, np.full_like(now, k), first[:1])[0, 3]) for k in range(2 * n))
-    assert total == pytest.approx(1, abs=1e-3)
-    # The future doesn't matter.
-    other = now.copy()
-    other[0, 8:] = 5
-    t = targets[:1]
-    assert np.allclose(a.log_probs(now, t, first[:1])[0, :8], a.log_probs(other, t, first[:1])[0, :8], atol=1e-5)
+    e = Encoder(JSON, RANKS)
+    size = library.get_vocab_size()
+    text = lambda k: [f"{'ab'[k % 2]}w{x}".encode() for x in rng.integers(0, 30, 100)]
+    texts = [text(k) for k in range(40)]
+    told = np.zeros((size, language_model.TOPICS))
+    for k in range(2):
+        told[language_model.encoded_words(e, ["ab"[k]])[0], k] = 3
+    s = language_model.Spelling(np.ones((2, size)), told)
+    c = collections.Counter(w for t in texts for w in t)
+    ids, at = language_model.encoded_words(e, [w.decode() for w in c])
+    places, amounts = s.counted(ids, at, np.array(list(c.values()), float), (size,))
+    s.learn(np.bincount(places, weights=amounts, minlength=language_model.TOPICS * (2 * size + 2 * language_model.CLASSES * (language_model.CLASSES + 1) + 1)), len(texts), sum(c.values()))
+    a = language_model.Attention()
+    words = language_model.Words(e, s, None, dict(c), 1.0)
+    b = language_model.Blocks([words.rows(t) for t in texts])
+
+    def score():
+        own = language_model.Words(e, s, a, dict(c), 0)
+        b = language_model.Blocks([own.rows(t) for t in texts])
+        spelled, unit = language_model.token_parts(own, a, b)
+        return np.logaddexp(spelled, np.log(unit * own.c[b.tokens])), own, b
+
+    before = score()[0].mean()
+    a.train(b, words, 150, batch=16)
+    after, own, b = score()
+    assert after.mean() > before + 0.2
+    w = a.weights(own.x[b.inputs], b.first)
+    assert w.sum(1) == pytest.approx(np.ones(len(w)), abs=1e-5)
+    other = b.inputs.copy()
+    other[0, 8:] = 3
+    assert np.allclose(a.weights(own.x[other], b.first)[:8], w[:8], atol=1e-6)
+
+
+def test_gradient_of_attention_is_that_of_the_loss(library, monkeypatch):
+    s, words_of, ids, at, c = toy_spelling()
+    a = language_model.Attention()
+    n = 60
+    rng = np.random.default_rng(2)
+
+    class Few:
+        likely, top, unit = rng.random((n, language_model.TOPICS)), np.log(rng.random(n)), rng.random((n, language_model.TOPICS)) / 50
+        c, parts = rng.integers(0, 9, n).astype(float), rng.random((n, language_model.TOPICS))
+        bag = rng.random((n, 2 * language_model.CLASSES + 1)) * (rng.random((n, 2 * language_model.CLASSES + 1)) < 0.02)
+
+        def bags(self, rows):
+            return self.bag[rows]
+
+    few, blocks = Few(), language_model.Blocks([rng.integers(1, n, 40)])
+
+    def loss():
+        rows = blocks.inputs
+        x = (few.bag[rows] @ a.embed + few.parts[rows] @ a.topic).astype(np.float64)
+        y = np.concatenate([x[:1], x[:-1]])
+        p = a.forward(x, y, ~blocks.first)[-1]
+        t = blocks.targets.ravel()
+        q = np.concatenate([few.likely[t] * np.exp(few.top[t])[:, None], few.unit[t] * np.maximum(few.c[t] - 1, 0)[:, None]], axis=1)
+        return -np.log((p * q).sum(1))[blocks.real.ravel()].mean()
+
+    class All:
+        def integers(self, *_):
+            return np.arange(len(blocks.inputs))
+
+    monkeypatch.setattr(language_model.np.random, "default_rng", lambda *_: All())
+    old = {k: getattr(a, k).astype(np.float64) for k in a.NAMES}
+    for k in a.NAMES:
+        setattr(a, k, old[k])
+    a.ready()
+    start = loss()
+    a.train(blocks, few, 1, batch=1, rate=1e-4)
+    step = {k: getattr(a, k) - old[k] for k in a.NAMES}
+    for name in a.NAMES:  # the first step of Adam goes against the sign of each number's own slope
+        at_ = np.unravel_index(np.argmax(np.abs(step[name])), step[name].shape)
+        for k in a.NAMES:
+            setattr(a, k, old[k].copy())
+        slopes = []
+        for d in (1e-5, -1e-5):
+            getattr(a, name)[at_] = old[name][at_] + d
+            a.ready()
+            a.mask = np.where(a.open, a.near[a.far], -1e4)
+            slopes.append(loss())
+        slope = (slopes[0] - slopes[1]) / 2e-5
+        assert slope * step[name][at_] <= 1e-9, name
+    assert start > 0
+
+
+def test_chunks_are_found_again_anywhere():
+    rng = np.random.default_rng(3)
+
+    class Few:
+        hash = rng.integers(0, 2**63, 500).astype(np.uint64)
+
+    texts = [rng.integers(1, 500, n) for n in (0, 1, 3000)]
+    texts.append(np.concatenate([rng.integers(1, 500, 77), texts[2][1000:2000]]))
+    b = language_model.Blocks(texts)
+    starts, hashes = language_model.chunk_starts(Few(), b)
+    first = np.cumsum(b.n) - b.n
+    assert set(first) <= set(starts)
+    h = Few.hash[b.tokens]
+    ends = set((np.cumsum(b.n) - 1).tolist())
+    want, begun = [], 0
+    for k in range(len(h)):
+        pair = k > begun and k not in ends and int((language_model.mixed(h[k - 1 : k] * np.uint64(0x9E3779B97F4A7C15) + h[k : k + 1]) >> np.uint64(33))[0]) % language_model.CHUNK == 0
+        if k in ends or pair:
+            want.append(begun)
+            begun = k + 1
+    assert starts.tolist() == want
+    of = np.searchsorted(first, starts, side="right") - 1
+    again = np.isin(hashes[of == 3], hashes[of == 2]).sum()
+    assert again >= 0.8 * 1000 / language_model.CHUNK
 
 
 def test_packing(docs, none, library):
