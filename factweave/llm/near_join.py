@@ -1,19 +1,23 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Texts that are equal word for word form one class and go on as one representative. Each representative has a signature, read
-as `TREES` sequences of minima; a sequence's prefixes are the paths of a trie. From the full length on, the matched prefix is shortened until two texts at
-the threshold meet in some tree with at least the target recall. Texts that meet in a trie node are gathered under
-the node's least representative, the hub; a hub that the same texts meet in many trees is one group. Groups are verified exactly
-on sets of five-word shingles. A group above `BLOCK` texts is cut into blocks that all hold the hub, and every two blocks are then compared,
-so no link is lost, and no task or row holds an unbounded group. That work grows with the square of a group's size. Where only classes are
+as `TREES` sequences of `DEPTH` labels; a tree is the prefix trie of one of these sequences, and a trie's node holds the representatives that share a prefix. Only
+nodes of two or more are kept, from the prefix length `LEAST` on down to the full length. Representatives that meet in a node are gathered under
+its least one, the hub. The matched prefix begins at full length and is shortened, a label at a time, until the links that are
+expected to be missed are within the target recall in each band of similarity in which links were found (shortened()); corpora whose copies are
+all close need no short prefixes. `LEAST` is the length at which two texts at the threshold meet with the target recall, whatever was found.
+
+Groups are verified exactly on sets of five-word shingles. A group above `BLOCK` texts, or of more than `BLOCK_SHINGLES` shingles, is cut into blocks that all
+hold the hub, and every two blocks are then compared, so no link is lost, and no task or row holds an unbounded group. That work grows with the square of
+a group's size, as the number of its links does. Where only classes are
 wanted (deduplicated()), texts that are not joined to the hub within their block are compared with every text of the group, block by block,
 which loses no link that would join two classes. Only a tree of links and the number of links leave a block, never all pairs.
 
 Classes are the connected components of the links, found by spreading the least label. n_links of a document is the number of
 documents it was verified to be linked with, word-for-word copies included; each pair of texts is counted in one place, whatever groups it meets in.
 
-Null or empty text: no words; such texts equal each other. Texts of fewer than five words match only word for word. Repeated
-rows: one row out for each. Empty table: no rows. Other columns are left out or, by deduplicated(), kept.
+Null or empty text: no words; such texts equal each other. Texts of fewer than five words match only word for word. Null doc_id: sorted after all others, so
+it names or stands for a class only if it is alone in it. Repeated rows: one row out for each. Empty table: no rows. Other columns are left out or, by deduplicated(), kept.
 """
 
 from __future__ import annotations
@@ -28,28 +32,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm.base import documents, table, written
-from factweave.llm.shingles import Shingles, chunks, mixed, odd, signatures, words
+from factweave.llm.shingles import Shingles, chunks, mixed, signatures, words
 
 THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
 RECALL = 0.9995
 BLOCK = 256
+BLOCK_SHINGLES = 1_000_000
+#: Lower ends of the bands of similarity; the first takes in what is estimated below it, since estimates vary.
+BANDS = (0.8, 0.85, 0.9, 0.95)
 #: Candidates are broadcast to filter the texts up to this many (some 50 bytes each), and joined by a shuffle beyond.
 MOST_CANDIDATES = 400_000
 
 
+def meeting(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The probability that two texts share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
     """The longest prefix in which two texts at the threshold meet, in some tree, with at least the target recall; 1 if none does."""
-    return next((d for d in range(depth, 0, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
+    return next((d for d in range(depth, 0, -1) if meeting(threshold, d, trees) >= recall), 1)
+
+
+LEAST = prefix_length()
+
+
+def shortened(found: dict[tuple[int, int], int], least: int = LEAST, recall: float = RECALL) -> int:
+    """The prefix length to stop at. found: pairs by the band of their estimated similarity and the longest prefix they share.
+
+    Texts of similarity s that share a prefix of length d in some tree are meeting(s, d) of all that there are. Every band of which a pair was found at any
+    length must have the target recall at its lower end, and no pair may be found at shorter prefixes alone.
+    """
+    there = [sum(n for (b, _), n in found.items() if b == band) for band in range(len(BANDS))]
+    for d in range(DEPTH, least, -1):
+        if all(meeting(x, d) >= recall for x, n in zip(BANDS, there, strict=True) if n) and all(at >= d for _, at in found):
+            return d
+    return least
 
 
-SIGNED = "doc_id long, text_hash long, digest string, n_shingles long, keys array<long>"
+SIGNED = "doc_id long, text_hash long, digest string, n_shingles long, labels array<int>"
 
 
-def signed(docs: DataFrame, prefix: int) -> DataFrame:
-    """Each text's digest of words, and its tries' nodes at the prefix length (none for texts without shingles)."""
-    coefficients = odd(23, prefix)
+def signed(docs: DataFrame) -> DataFrame:
+    """Each text's digest of words, and its labels, tree by tree (none for texts without shingles)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -57,8 +84,7 @@ def signed(docs: DataFrame, prefix: int) -> DataFrame:
             for lo, hi in chunks(texts):
                 split = [words(t) for t in texts[lo:hi]]
                 s = Shingles(split)
-                minima = signatures(s, TREES * prefix).reshape(-1, TREES, prefix)
-                nodes = mixed((mixed(minima) * coefficients).sum(2) + np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                labels = (mixed(signatures(s, TREES * DEPTH)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 which = np.cumsum(s.n > 0) - 1
                 part = pdf.iloc[lo:hi]
                 yield pd.DataFrame({
@@ -66,12 +92,45 @@ def signed(docs: DataFrame, prefix: int) -> DataFrame:
                     "text_hash": part["text_hash"],
                     "digest": [hashlib.blake2b(" ".join(w).encode("utf-8", "replace"), digest_size=16).hexdigest() for w in split],
                     "n_shingles": s.n,
-                    "keys": [nodes[which[k]] if s.n[k] else [] for k in range(len(split))],
+                    "labels": [labels[which[k]] if s.n[k] else [] for k in range(len(split))],
                 })
 
     return documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, SIGNED)
 
 
+def forest(reps: DataFrame, least: int = LEAST) -> DataFrame:
+    """rid, hub, depth: the representatives that meet a node's hub, and the longest prefix they do so at.
+
+    Tries are walked from the shortest prefix down: below a node of one there is nothing to find.
+    """
+    node = lambda d: F.xxhash64(F.lit(d), "tree", F.slice("path", 1, d))
+    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.slice("labels", t * DEPTH + 1, DEPTH).alias("path")))).alias("x")
+    paths = reps.where(F.size("labels") > 0).select("rid", trees).select("rid", "x.*")
+    met = None
+    for d in range(least, DEPTH + 1):
+        at = paths.withColumn("key", node(d))
+        nodes = at.groupBy("key").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+        at = at.join(nodes, "key").select("rid", "tree", "path", "hub")
+        paths = written(at, "paths", compression="zstd") if d == least else at
+        own = paths.select("rid", "hub", F.lit(d).alias("depth"))
+        met = own if met is None else met.unionByName(own)
+        paths = paths.drop("hub")
+    return met.groupBy("hub", "rid").agg(F.max("depth").alias("depth"))
+
+
+def candidates(reps: DataFrame, least: int | None = None) -> DataFrame:
+    """hub, rid, n_shingles: who meets at the prefix length that the target recall asks for, each hub with itself."""
+    least = least or LEAST
+    met = written(forest(reps, least), "forest")
+    signs = written(reps.join(met.select("rid").distinct(), "rid", "left_semi").select("rid", "labels", "n_shingles"), "forest_labels", compression="zstd")
+    hubs = signs.select(F.col("rid").alias("hub"), F.col("labels").alias("hub_labels"))
+    same = F.size(F.filter(F.zip_with("labels", "hub_labels", lambda a, b: a == b), lambda x: x)) / (TREES * DEPTH)
+    band = sum((same >= x).cast("int") for x in BANDS[1:])
+    pairs = met.where("rid <> hub").join(signs, "rid").join(hubs, "hub").where(same >= BANDS[0] - 0.1)
+    found = {(r["band"], r["depth"]): r["count"] for r in pairs.select(band.alias("band"), "depth").groupBy("band", "depth").count().collect()}
+    return met.where(F.col("depth") >= shortened(found, least)).join(signs.select("rid", "n_shingles"), "rid").select("hub", "rid", "n_shingles")
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every two sets of distinct numbers; the shared numbers are taken some thousand at a time."""
     m = len(sets)
@@ -257,19 +316,17 @@ def block_pairs(placed: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold_prefix: int | None = None, count: bool = True) -> DataFrame:
     """doc_id, text_hash, class_id (the least doc_id of the class), n_links, is_kept (one row of each class). Without count, n_links lacks links within classes across blocks."""
-    prefix = threshold_prefix or prefix_length()
-    signs = written(signed(docs, prefix), "signed").withColumn("rid", F.xxhash64("doc_id", "text_hash"))
+    signs = written(signed(docs), "signed", compression="zstd").withColumn("rid", F.xxhash64("doc_id", "text_hash"))
     # n_copies counts rows; of equal words the least (doc_id, text_hash) stands for all.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "rid")).alias("least")
     reps = written(
-        signs.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash", "rid")).alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys"))
-        .select("digest", F.col("least.rid").alias("rid"), "n_copies", "keys"), "representatives")
-    postings = reps.select("rid", F.explode("keys").alias("key"))
-    nodes = postings.groupBy("key").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = written(postings.join(nodes, "key").select("hub", "rid").distinct(), "met")
-    sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        signs.groupBy("digest").agg(least, F.count(F.lit(1)).alias("n_copies"), F.first("labels").alias("labels"), F.first("n_shingles").alias("n_shingles"))
+        .select("digest", F.col("least.rid").alias("rid"), "n_copies", "labels", "n_shingles"), "representatives", compression="zstd")
+    met = written(candidates(reps, threshold_prefix), "met")
+    sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("n_shingles"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n") - 1, F.ceil(F.col("n_shingles") / BLOCK_SHINGLES))).cast("int")
     part = F.when(F.col("rid") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int")))
-    placed = met.join(sizes.where("n > 1").select("hub", blocks.alias("blocks")), "hub").select("hub", "rid", "blocks", (F.col("blocks") > 1).cast("int").alias("role"), F.explode(part).alias("part"))
+    placed = met.drop("n_shingles").join(sizes.where("n > 1").select("hub", blocks.alias("blocks")), "hub").select("hub", "rid", "blocks", (F.col("blocks") > 1).cast("int").alias("role"), F.explode(part).alias("part"))
     placed = written(placed.withColumn("gid", F.xxhash64("hub", "part")), "placed")
     # A representative is in as many groups as there are tries at most, besides those of which it is the hub.
     groups = placed.where("rid <> hub").groupBy("rid").agg(F.collect_set(F.struct("gid", "hub")).alias("groups")).select("rid", F.col("groups.gid").alias("gids"), F.col("groups.hub").alias("hubs"))
@@ -300,8 +357,9 @@ def classes(docs: DataFrame, threshold_prefix: int | None = None, count: bool =
     found = reps.select("digest", "rid", "n_copies").join(labels, "rid", "left").join(counts, "rid", "left")
     found = written(found.select("digest", "rid", F.coalesce("label", "rid").alias("label"), (F.col("n_copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "found")
     members = written(signs.select("doc_id", "text_hash", "digest").join(found, "digest"), "members")
-    least = members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    return members.join(least, "label").select("doc_id", "text_hash", "class_id", "n_links", (F.struct("doc_id", "text_hash") == F.col("first")).alias("is_kept"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    least = members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(place).alias("first"))
+    return members.join(least, "label").select("doc_id", "text_hash", "class_id", "n_links", (place == F.col("first")).alias("is_kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -317,4 +375,4 @@ def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-__all__ = ["classes", "components", "deduplicated", "linked", "op9_lsh_forest", "prefix_length", "roots"]
+__all__ = ["candidates", "classes", "components", "deduplicated", "linked", "op9_lsh_forest", "prefix_length", "roots"]

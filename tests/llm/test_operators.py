@@ -475,8 +475,7 @@ def test_near_join(spark, none, monkeypatch, block):
     for k, r in enumerate(root):
         least.setdefault(r, k)
     assert [got[k]["class_id"] for k in range(len(texts))] == [least[r] for r in root]
-    if block > 45:
-        assert [got[k]["n_links"] for k in range(len(texts))] == n
+    assert [got[k]["n_links"] for k in range(len(texts))] == n
     kept = near_join.deduplicated(table)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values())) and kept.columns == table.columns
     if block > 45:
@@ -496,9 +495,43 @@ def test_near_join_counts_links_across_blocks(spark, monkeypatch):
 
 
 def test_prefix_is_shortened_to_the_recall():
-    assert near_join.prefix_length() == 4
+    assert near_join.LEAST == near_join.prefix_length() == 4
     assert near_join.prefix_length(recall=0.9) == 8
     assert near_join.prefix_length(0.05, recall=0.9999) == 1
+    assert near_join.shortened({}) == 8
+    assert near_join.shortened({(3, 8): 1000}) == 8  # close copies alone
+    assert near_join.shortened({(3, 8): 1000, (1, 6): 5}) == 5
+    assert near_join.shortened({(0, 8): 1}) == 4
+
+
+def test_null_id_stands_for_a_class_only_if_alone(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    table = spark.createDataFrame([(None, text), (5, text), (3, text + " more"), (None, "alone here")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0) for r in near_join.deduplicated(table).collect()) == [0, 3]
+    assert {(r["doc_id"], r["class_id"]) for r in near_join.classes(table).collect()} == {(None, 3), (5, 3), (3, 3), (None, None)}
+
+
+def test_near_join_recall_against_all_pairs(spark):
+    docs = base.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = docs.select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = re.findall(r"\w+", (r["text"] or "").lower())
+        sets[r["doc_id"]] = (" ".join(w), frozenset(zip(*(w[j:] for j in range(5)))))
+    postings = collections.defaultdict(list)
+    for i, (_, s) in sets.items():
+        for x in s:
+            postings[x].append(i)
+    both = collections.Counter(p for ids in postings.values() if len(ids) > 1 for p in itertools.combinations(sorted(ids), 2))
+    links = {p for p, n in both.items() if n >= 0.8 * len(sets[p[0]][1] | sets[p[1]][1])}
+    by_words = collections.defaultdict(list)
+    for i, (w, _) in sets.items():
+        by_words[w].append(i)
+    links |= {p for ids in by_words.values() for p in itertools.combinations(sorted(ids), 2)}
+    n = collections.Counter(i for p in links for i in p)
+    got = {r["doc_id"]: r for r in near_join.op9_lsh_forest(spark, "/root/testdata/sf0.01").collect()}
+    assert len(links) > 90 and sum(got[a]["class_id"] == got[b]["class_id"] for a, b in links) >= 0.99 * len(links)
+    assert sum(got[i]["n_links"] != n[i] for i in got) <= 0.01 * len(links)
 
 
 def test_registered():
