@@ -75,28 +75,124 @@ def test_secrets(docs, none):
     assert secrets.redact(docs, field).columns == docs.columns
 
 
-def test_secret_field_learns_other_forms(spark):
-    field = secrets.fit(base.table(spark, "/root/testdata/sf0.01", "documents"))
-    for t in ('and passphrase = "Zx81kQ0pLm22aa91" then', "the ghp_16C7e42F292c6912E7710c838347Ae178B4a here"):
-        assert secrets.added_spans(t, field, secrets.base_spans(t)), t
-    for t in ("call 555-7739 now", "order INV-2024-00017 came", "see report_2023_final.pdf there", "version v1.22.3-rc4 of it"):
-        assert not secrets.added_spans(t, field, secrets.base_spans(t)), t
+@pytest.fixture(scope="module")
+def field(spark):
+    return secrets.fit(base.table(spark, "/root/testdata/sf0.01", "documents"))
 
 
-def test_long_runs_are_whole():
-    text = "x " + "A" * 5000 + "1b c"
-    assert secrets.chains(text) == [[(2, 5004)]]
+def test_secret_field_learns_other_forms(field):
+    texts = ['and passphrase = "Zx81kQ0pLm22aa91" then', "the ghp_16C7e42F292c6912E7710c838347Ae178B4a here"]
+    texts += ["passcode = qWmZpRtYxKvBnHdGfJsLc then", "pwd: k8#vQ!2z@Lm9$w here"]
+    for t in texts:
+        assert secrets.added_spans(t, field, secrets.base_spans(t)), t
+    t = 'and recovery phrase: "a8k2p 9zq4m x7w1e b5n3t q2r8v" then'
+    start, _, end = secrets.added_spans(t, field, [])[0]
+    assert len(t[start:end].split()) >= 3  # begin and inside
+    for t in ("call 555-7739 now", "order INV-2024-00017 came", "see report_2023_final.pdf there", "version v1.22.3-rc4 of it", "write to anna.berg@example.org soon"):
+        assert not secrets.added_spans(t, field, secrets.base_spans(t)), t
 
 
-def test_viterbi_is_the_best_path():
+def test_secret_field_adds_spans_to_texts_with_other_credentials(spark, field):
+    docs = base.table(spark, "/root/testdata/sf0.01", "documents").where("length(text) > 100").limit(200)
+    put = docs.withColumn("text", F.concat(F.col("text"), F.lit(' and recovery phrase: "'), F.substring(F.sha2("text", 256), 1, 5), F.lit(" "), F.substring(F.md5("text"), 1, 6), F.lit(" "), F.substring(F.md5("text"), 7, 6), F.lit('" is here')))
+    assert secrets.scan(put, field).where("n_crf > 0").count() > 160
+    assert secrets.scan(docs, field).where("n_crf > 0").count() < 5
+
+
+def test_inside_occurs_in_training(spark):
+    rows = base.table(spark, SF, "documents").select("doc_id", "text").collect()
+    tags = collections.Counter(x for r in rows for _, own, _ in secrets.windows(r["doc_id"], r["text"] or "") for x in own)
+    assert tags[secrets.INSIDE] > 50 and tags[secrets.BEGIN] > 50
+
+
+def test_tokens_are_whole():
+    run = "A" * 5000 + "1b"
+    assert secrets.pieces(f"x {run} c=d== e.") == [(0, 1), (2, 5004), (5005, 5006), (5006, 5007), (5007, 5010), (5011, 5012)]
+
+
+def test_base_spans_against_a_plain_finder(spark):
+    """A finder that reads characters one by one."""
+    run = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def plain(t):
+        out, low, k = [], "".join(c.lower() if c.isascii() else c for c in t), 0
+        while k < len(t):
+            name = next((n for n in ("password", "passwd", "secret", "token", "apikey", "api_key") if low.startswith(n, k)), None)
+            if name is None:
+                k += 1
+                continue
+            j = k + len(name)
+            j += t[j : j + 1] in ("'", '"') and t[j : j + 1] != ""
+            while t[j : j + 1] == " ":
+                j += 1
+            if t[j : j + 1] not in (":", "=") or not t[j : j + 1]:
+                k += 1
+                continue
+            j += 1
+            while t[j : j + 1] == " ":
+                j += 1
+            j += t[j : j + 1] in ("'", '"') and t[j : j + 1] != ""
+            e = j
+            while e < len(t) and t[e] in run:
+                e += 1
+            if e == j:
+                k += 1
+                continue
+            if e - j >= 12:
+                out.append((k, 0, e))
+            k = e
+        for kind, head, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), (2, "", set("0123456789abcdef"), 16)):
+            k = 0
+            while k < len(t):
+                e = k + len(head)
+                if not t.startswith(head, k):
+                    k += 1
+                    continue
+                while e < len(t) and t[e] in chars:
+                    e += 1
+                if e - k >= least and e > k + len(head):
+                    out.append((k, kind, e))
+                k = max(e, k + 1)
+        return sorted(out)
+
+    texts = [t or "" for _, t in ROWS] + [r["text"] or "" for r in base.table(spark, SF, "documents").select("text").collect()]
+    for t in texts:
+        assert secrets.base_spans(t) == plain(t)
+
+
+def test_viterbi_is_the_best_path_and_nothing_it_needs_is_closed():
     rng = np.random.default_rng(0)
-    field = secrets.Field({f: tuple(rng.normal(size=3)) for f in "abcd"}, rng.normal(size=(3, 3)).tolist(), rng.normal(size=3).tolist())
-    chain = [["a"], ["b", "c"], ["d"], ["a", "d"]]
-
-    def score(tags):
-        return field.first[tags[0]] + sum(field.emission(f)[t] for f, t in zip(chain, tags)) + sum(field.follow[a][b] for a, b in itertools.pairwise(tags))
-
-    assert field.viterbi(chain) == list(max(itertools.product(range(3), repeat=4), key=score))
+    for _ in range(200):
+        follow = rng.normal(size=(3, 3))
+        follow[secrets.OUTSIDE, secrets.INSIDE] = secrets.NEVER
+        field = secrets.Field({}, follow.tolist())
+        sizes = np.array([4, 0, 6])
+        e = rng.normal(0, 2, (10, 3)) + [0, 0, 1.5]
+        open_ = field.open(e, sizes)
+        for lo, hi in ((0, 4), (4, 10)):
+            own = e[lo:hi]
+
+            def score(tags, own=own):
+                path = [secrets.OUTSIDE, *tags, secrets.OUTSIDE]
+                return sum(own[k][t] for k, t in enumerate(tags)) + sum(follow[a, b] for a, b in itertools.pairwise(path))
+
+            best = list(max(itertools.product(range(3), repeat=hi - lo), key=score))
+            assert field.viterbi(own.tolist()) == best
+            assert all(o for o, t in zip(open_[lo:hi], best) if t != secrets.OUTSIDE)
+
+
+def test_emissions_are_those_of_the_features(field):
+    texts = ["a password: Zx81kQ0p, end.", "", "", "end end. end", 'key="abc" x', LONG]
+    tokens = secrets.Tokens(field)
+    for _ in range(2):
+        e, sizes = tokens.emissions(texts)
+        lo = 0
+        for t, n in zip(texts, sizes.tolist()):
+            own = [t[s:e_] for s, e_ in secrets.pieces(t)]
+            assert n == len(own)
+            for k in range(min(n, 50)):
+                assert e[lo + k] == pytest.approx(field.emission([*secrets.token_features(own, k), *secrets.file_features(t)]))
+            lo += n
 
 
 def test_token_counts(docs, none, library, tmp_path):
