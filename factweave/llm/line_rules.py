@@ -1,13 +1,13 @@
 """Quality rules from the frequency of lines across documents, in DataFrame functions alone.
 
 A line is normalised (lower case, runs of digits as 0, white space as one space) and hashed with its host, the document's
-source. The distinct texts that hold it are counted for each host, so exact copies of a document count once. A line
-of at least `MIN_LINE_WORDS` words in more texts of a host than the host's limit, the larger of `LEAST_LIMIT` and `LIMIT_SHARE` of the
-host's distinct texts, is removed wherever it stands in that host. A document that keeps less than `LEAST_LEFT` percent of its
-words is depleted and rejected, as are documents that fail the base rules.
+source. The documents that hold it are counted for each host, where documents of one and the same text are one document, so exact copies do not make
+a line frequent. A line with a word in more documents of a host than the host's limit is removed wherever it stands in that host; the limit is one in `LIMIT_ONE_IN` of the
+host's documents, `LEAST_LIMIT` at least and `MOST_LIMIT` at most, so that in a hot host too a line of some hundred documents is boilerplate. A document that keeps less than
+`LEAST_LEFT` percent of its words is depleted and rejected, as are documents that fail the base rules.
 
-Null or empty text: no words, fails the base rules. Null source: a host of its own. Repeated rows: one row out for each. Empty
-table: no rows. Other columns are left out.
+Null or empty text: no words, fails the base rules. Null source: a host of its own. Repeated rows: one row out for each; rows of one text in two hosts are
+judged each by its own host. Empty table: no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from factweave.llm.base import SPACE, table, written
 
 WINDOW = 8
-MIN_LINE_WORDS = 4
-LEAST_LIMIT = 50
-LIMIT_SHARE = 0.005
+LEAST_LIMIT = 10
+MOST_LIMIT = 200
+LIMIT_ONE_IN = 100
 LEAST_LEFT = 30
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -43,10 +43,15 @@ def n_repeated(hashes: Column) -> Column:
     return F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc["covered"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("covered")), lambda acc: acc["covered"])
 
 
+def row_key(text: Column) -> Column:
+    """Of rows with the same id, host and text."""
+    return F.xxhash64(F.col("doc_id"), F.col("source"), F.col("source").isNull(), text)
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.col("text")
-    rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).withColumns({"row_key": F.xxhash64("doc_id", "text"), "words": words_of(text)})
+    rows = docs.select("doc_id", "source", F.coalesce(text, F.lit("")).alias("text")).withColumns({"row_key": row_key(text), "words": words_of(text)})
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(A_WORD))
     n = F.size("words")
     hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
@@ -68,10 +73,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """A row for each line of enough words: row_key, place, host, content, line (the hash of host and normalised line), n."""
+    """A row for each line with a word: row_key, place, host, content, line (the hash of host and normalised line), n."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.xxhash64("doc_id", text).alias("row_key"), F.xxhash64("source").alias("host"), F.xxhash64(text).alias("content"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    rows = rows.withColumn("n", F.size(words_of(F.col("line")))).where(F.col("n") >= MIN_LINE_WORDS)
+    rows = docs.select(row_key(text).alias("row_key"), F.xxhash64("source").alias("host"), F.xxhash64(text).alias("content"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    rows = rows.withColumn("n", F.size(words_of(F.col("line")))).where("n > 0")
     normal = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), SPACE, " "), "[0-9]+", "0"))
     return rows.select("row_key", "place", "host", "content", F.xxhash64("host", normal).alias("line"), "n")
 
@@ -80,7 +85,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
     """row_key, n_removed: the words in lines above their host's limit."""
     lines = written(lines_of(docs), "lines")
     contents = docs.select(F.xxhash64("source").alias("host"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("content")).distinct()
-    limits = contents.groupBy("host").agg(F.greatest(F.lit(LEAST_LIMIT), F.floor(F.count(F.lit(1)) * LIMIT_SHARE)).alias("most"))
+    limits = contents.groupBy("host").agg(F.greatest(F.lit(LEAST_LIMIT), F.least(F.lit(MOST_LIMIT), F.floor(F.count(F.lit(1)) / LIMIT_ONE_IN))).alias("most"))
     texts = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") > LEAST_LIMIT)
     frequent = written(texts.join(limits, "host").where(F.col("n_texts") > F.col("most")).select("line"), "frequent_lines")
     if frequent.count() <= 200_000:  # 8 bytes each
@@ -109,9 +114,9 @@ l AS (SELECT r, h, t, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')
   trim(regexp_replace(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS norm
   FROM (SELECT r, h, t, unnest(string_split(t, chr(10))) AS line FROM d)),
 dl AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE n > 0 GROUP BY r),
-hosts AS (SELECT h, greatest({LEAST_LIMIT}, floor(count(DISTINCT t) * {LIMIT_SHARE})) AS most FROM d GROUP BY h),
-f AS (SELECT h, norm FROM l JOIN hosts USING (h) WHERE n >= {MIN_LINE_WORDS} GROUP BY h, norm, most HAVING count(DISTINCT t) > most),
-gone AS (SELECT r, sum(n) AS n FROM l JOIN f USING (h, norm) WHERE n >= {MIN_LINE_WORDS} GROUP BY r),
+hosts AS (SELECT h, greatest({LEAST_LIMIT}, least({MOST_LIMIT}, count(DISTINCT t) // {LIMIT_ONE_IN})) AS most FROM d GROUP BY h),
+f AS (SELECT h, norm FROM l JOIN hosts USING (h) WHERE n > 0 GROUP BY h, norm, most HAVING count(DISTINCT t) > most),
+gone AS (SELECT r, sum(n) AS n FROM l JOIN f USING (h, norm) WHERE n > 0 GROUP BY r),
 c AS (SELECT doc_id, len(w.w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
   length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed
   FROM d JOIN w USING (r) LEFT JOIN dl USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))

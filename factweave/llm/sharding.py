@@ -2,8 +2,8 @@
 
 Records are hashed into thousands of virtual slots by their text, so equal texts share a slot; the bytes of each slot are
 summed; a versioned map from slots to shards, kept as a table, is made from these sums and edited when shards are rebalanced:
-only the slots that must move change their shard. A group of equal texts larger than an eighth of a shard is dealt over
-several slots by a hash of doc_id.
+only the slots that must move change their shard. A group of equal texts larger than an eighth of a shard has a slot of its own, so that two of them
+need not share one; only a group larger than a whole shard, which no shard could hold and stay near the others' size, is dealt over as many slots as it fills shards, by a hash of doc_id.
 
 Null or empty text: 16 bytes. Repeated rows: each is a record. Empty table: no rows. Other columns are left out.
 """
@@ -11,6 +11,7 @@ Null or empty text: 16 bytes. Repeated rows: each is a record. Empty table: no r
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from factweave.llm.base import documents, new_path, table, work_dir, written
 
 OVERHEAD = 16
 SLOTS = 4096
-#: A group of equal texts above this share of a shard is split.
+#: A group of equal texts above this share of a shard has slots of its own.
 GROUP_SHARE = 1 / 8
 
 
@@ -86,14 +87,20 @@ def records(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_slots(rows: DataFrame, n_shards: int, n_slots: int = SLOTS) -> DataFrame:
-    """rows with virtual_slot. Large groups are at most n_shards / GROUP_SHARE, so they are broadcast."""
+def with_slots(rows: DataFrame, n_shards: int, n_slots: int = SLOTS) -> tuple[DataFrame, int]:
+    """rows with virtual_slot, and the number of slots. Large groups are at most n_shards / GROUP_SHARE, so they are numbered here and broadcast."""
     groups = rows.groupBy("content").agg(F.sum("size").alias("bytes"))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
-    most = max(1.0, total / n_shards * GROUP_SHARE)
-    large = groups.where(F.col("bytes") > most).select("content", F.ceil(F.col("bytes") / most).cast("long").alias("parts"))
-    salt = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    return rows.join(F.broadcast(large), "content", "left").withColumn("virtual_slot", F.pmod(F.xxhash64("content", salt.cast("long")), F.lit(n_slots)).cast("int")).drop("parts", "content")
+    shard_bytes = max(1.0, total / n_shards)
+    own, first = [], n_slots
+    for r in groups.where(F.col("bytes") > shard_bytes * GROUP_SHARE).orderBy("content").collect():
+        parts = math.ceil(r["bytes"] / shard_bytes)
+        own.append((r["content"], first, parts))
+        first += parts
+    large = rows.sparkSession.createDataFrame(own, "content long, first_slot int, parts int")
+    hashed = F.pmod(F.xxhash64("content"), F.lit(n_slots)).cast("int")
+    slot = F.coalesce(F.col("first_slot") + F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), hashed)
+    return rows.join(F.broadcast(large), "content", "left").withColumn("virtual_slot", slot).drop("parts", "first_slot", "content"), first
 
 
 def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
@@ -102,7 +109,8 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS, map_path: s
     Places come from two sums: the records of the shard's earlier virtual slots, and the record's number within its own.
     """
     spark = docs.sparkSession
-    rows = written(with_slots(written(records(docs), "records"), n_shards, n_slots), "slotted")
+    rows, n_slots = with_slots(written(records(docs), "records"), n_shards, n_slots)
+    rows = written(rows, "slotted")
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # n_slots rows at most
     slot_bytes = {r["virtual_slot"]: r["bytes"] for r in sums}
     n = {r["virtual_slot"]: r["n"] for r in sums}

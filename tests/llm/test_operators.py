@@ -455,25 +455,47 @@ def test_toxicity_learns_rare_words_of_a_large_sample():
     assert model.score("hello there. bye")[0] < 0.5
 
 
+def line_rules_by_sql(table, least=2, most=200, one_in=100):
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    old = f"greatest({line_rules.LEAST_LIMIT}, least({line_rules.MOST_LIMIT}, count(DISTINCT t) // {line_rules.LIMIT_ONE_IN}))"
+    assert old in line_rules.SQL
+    return con.execute(line_rules.SQL.replace(old, f"greatest({least}, least({most}, count(DISTINCT t) // {one_in}))")).fetchdf()
+
+
+def same_rows(a, b):
+    c = sorted(b.columns)
+    text = lambda f: sorted(map(str, f[c].astype(object).where(f[c].notna(), None).itertuples(index=False, name=None)))
+    return text(a) == text(b)
+
+
 def test_line_rules(spark, docs, none, monkeypatch):
-    monkeypatch.setattr(line_rules, "LEAST_LIMIT", 2)
-    monkeypatch.setattr(line_rules, "LIMIT_SHARE", 0.0)
     shared = "This line stands 12 times in every page here"
-    more = spark.createDataFrame([(100 + k, f"{shared}\nown text number {k} " + "and more of its own words " * (k % 3) + "\nThis  LINE stands 7 times in every page here", "en", "a" if k < 6 else "b", 1, *["x"] * 8) for k in range(8)], COLUMNS)
+    more = spark.createDataFrame([(100 + k, f"{shared}\nown text number {k} " + "and more of its own words " * (k % 3) + "\nRead more\nThis  LINE stands 7 times in every page here", "en", "a" if k < 6 else "b", 1, *["x"] * 8) for k in range(8)], COLUMNS)
     both = docs.unionByName(more)
-    con = duckdb.connect()
-    documents = both.toPandas()  # noqa: F841
-    con.register("documents", documents)
-    sql = line_rules.SQL.replace("greatest(50,", "greatest(2,").replace("* 0.005", "* 0.0")
-    want = con.execute(sql).fetchdf()
+    want = line_rules_by_sql(both)
+    monkeypatch.setattr(line_rules, "LEAST_LIMIT", 2)
     got = line_rules.judged(both).toPandas()
-    c = sorted(want.columns)
-    text = lambda f: sorted(map(str, f[c].astype(object).where(f[c].notna(), None).itertuples(index=False, name=None)))
-    assert text(got) == text(want)
-    assert (got["n_removed"] > 0).sum() == 6
+    assert same_rows(got, want)
+    assert (got["n_removed"] > 0).sum() == 6 and got["n_removed"].max() == 20
     assert line_rules.judged(none).count() == 0
 
 
+def test_line_rules_judge_each_host_by_itself(spark, monkeypatch):
+    line = "a line that is common in one host alone"
+    rows = [(k, f"{line}\nown words of number {'abcde'[k]} " + "and some more " * 8, "a") for k in range(5)]
+    rows += [(0, rows[0][1], "b"), (0, rows[0][1], None), (0, rows[0][1], "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    want = line_rules_by_sql(table)
+    monkeypatch.setattr(line_rules, "LEAST_LIMIT", 2)
+    got = line_rules.judged(table).toPandas()
+    assert same_rows(got, want) and sorted(got["n_removed"]) == [0, 0] + [9] * 6
+
+
+def test_line_rules_fire_on_the_tables(spark):
+    assert line_rules.op6_line_frequency(spark, "/root/testdata/sf0.01").where("n_removed > 0").count() > 0
+
+
 def test_sharding(spark, docs, none, tmp_path):
     got = sharding.shard(docs, n_shards=3, n_slots=64).collect()
     assert len(got) == len(ROWS)
@@ -487,6 +509,16 @@ def test_sharding(spark, docs, none, tmp_path):
     assert len(big) == 40 and big.max() - big.min() < 0.02 * big.mean()
 
 
+def test_groups_of_equal_texts_stay_whole(spark):
+    texts = ["hot " * 200] * 300 + [f"group {k % 7} " + "x" * 900 for k in range(70)] + [f"own text {k} " + "y" * 500 for k in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shard(table, n_shards=4, n_slots=64).toPandas()
+    shards = got.assign(text=[texts[i] for i in got["doc_id"]]).groupby("text")["shard"].nunique()
+    assert shards["hot " * 200] == 2 and shards.drop("hot " * 200).max() == 1  # the hot one alone is larger than a shard
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() < 1.1 * sizes.min()
+
+
 def test_rebalancing_moves_little():
     bytes_ = {k: 10 + k % 7 for k in range(400)}
     old = sharding.balanced_map(bytes_, 8, 400)
