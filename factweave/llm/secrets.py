@@ -49,7 +49,7 @@ BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 WINDOW = 28
 TRAIN_WINDOWS = 6000
 TRAIN_DOCUMENTS = 2000
-KEPT = 400_000
+KEPT = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
