@@ -116,5 +116,6 @@ def over(body: str, *tables: str) -> str:
 
     for t in tables:
         add(t)
-    parts = ", ".join(f"{k} AS ({v.strip()})" for k, v in TABLES.items() if k in wanted)
+    # The triples are read more than once: made once.
+    parts = ", ".join(f"{k} AS {'MATERIALIZED ' if k == 't' else ''}({v.strip()})" for k, v in TABLES.items() if k in wanted)
     return f"WITH {'RECURSIVE ' if 'closure' in wanted else ''}{parts} {body}" if parts else body

@@ -330,7 +330,7 @@ def _new(t: DataFrame) -> DataFrame:
 
 add("upd_insert_entities", lambda s, d: updates.inserted(T(s, d), _new(T(s, d))), f"SELECT s, p, o FROM t UNION {_NEW}", "t")
 add("upd_replace_properties", lambda s, d: updates.replaced(T(s, d), _new(T(s, d)), ANALYSIS), f"SELECT s, p, o FROM t WHERE NOT (p = 'urn:kg/ontology/gender' AND o = 'N.A.') UNION {_NEW}", "t")
-add("upd_cascade_delete", lambda s, d: updates.cascade_deleted(T(s, d), T(s, d).where((F.col("p") == ONT + "gender") & (F.col("o") == "Female")).select("s")), "SELECT s, p, o FROM t WHERE s NOT IN (SELECT s FROM t WHERE p = 'urn:kg/ontology/gender' AND o = 'Female')", "t")
+add("upd_cascade_delete", lambda s, d: updates.cascade_deleted(T(s, d), T(s, d).where((F.col("p") == ONT + "gender") & (F.col("o") == "Female")).select("s")), "SELECT s, p, o FROM t WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.s = t.s AND x.p = 'urn:kg/ontology/gender' AND x.o = 'Female')", "t")
 
 
 def _inferred(s: SparkSession, d: str) -> DataFrame:

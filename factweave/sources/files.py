@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Headers that come under another name, and headers that must be there.
@@ -43,10 +43,30 @@ def without_empty_columns(df: DataFrame) -> DataFrame:
 def with_unique_ids(df: DataFrame, key: str, *order: str) -> DataFrame:
     """unique_id: the key, trimmed, then key.1, key.2 for its repetitions in the given order; blank keys stay."""
     k = F.trim(F.col(key))
-    n = F.row_number().over(Window.partitionBy(k).orderBy(*order))
+    # Blank keys take no number: their rows are spread.
+    blank = F.when(F.coalesce(k, F.lit("")) == "", F.xxhash64(*order))
+    n = F.row_number().over(Window.partitionBy(k, blank).orderBy(*order))
     return df.withColumn("unique_id", F.when((k == "") | (n == 1), k).otherwise(F.concat(k, F.lit("."), (n - 1).cast("string"))))
 
 
+def unescaped(literal: Column) -> Column:
+    """A literal's text without the escapes of N-Triples."""
+
+    def code_points(x: Column, mark: str, digits: int, charset: str) -> Column:
+        parts = F.split(x, mark)
+        char = lambda p: F.concat(F.decode(F.unhex(F.substring(p, 1, digits)), charset), p.substr(F.lit(digits + 1), F.length(p)))
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), char), ""))
+
+    def part(x: Column) -> Column:
+        x = code_points(code_points(x, r"\\U", 8, "UTF-32"), r"\\u", 4, "UTF-16BE")
+        for escape, char in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f")):
+            x = F.replace(x, F.lit(escape), F.lit(char))
+        return x
+
+    # An escaped backslash begins no other escape.
+    return F.when(literal.contains("\\"), F.array_join(F.transform(F.split(literal, r"\\\\"), part), "\\")).otherwise(literal)
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """s, p, o, o_kind, o_datatype, o_lang; comments and blank lines are left out, repeated triples count once."""
     term = '^\\s*(<[^>]*>|_:\\S+)\\s+<([^>]*)>\\s+(.*?)\\s*\\.\\s*$'
@@ -57,7 +77,7 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     kind = F.when(F.col("raw").startswith("<"), "iri").when(F.col("raw").startswith("_:"), "bnode").otherwise("literal")
     return rows.select(
         "s", "p",
-        F.when(F.col("raw").startswith('"'), F.regexp_extract("raw", literal, 1)).otherwise(F.regexp_replace("raw", "[<>]", "")).alias("o"),
+        F.when(F.col("raw").startswith('"'), unescaped(F.regexp_extract("raw", literal, 1))).otherwise(F.regexp_replace("raw", "[<>]", "")).alias("o"),
         kind.alias("o_kind"),
         F.nullif(F.regexp_extract("raw", '\\^\\^<([^>]*)>$', 1), F.lit("")).alias("o_datatype"),
         F.nullif(F.regexp_extract("raw", '"@([A-Za-z-]+)$', 1), F.lit("")).alias("o_lang"),

@@ -90,10 +90,20 @@ def test_patterns(spark):
 def test_ntriples(spark, tmp_path):
     (tmp_path / "x.nt").write_text('<urn:a> <urn:p> "l\\"x"@fr .\n<urn:a> <urn:p> "1"^^<urn:int> .\n# no\n\n<urn:a> <urn:q> <urn:b> .\n<urn:a> <urn:q> <urn:b> .\n')
     got = {(r.s, r.p, r.o, r.o_kind, r.o_datatype, r.o_lang) for r in files.read_ntriples(spark, str(tmp_path)).collect()}
-    assert got == {("urn:a", "urn:p", 'l\\"x', "literal", None, "fr"), ("urn:a", "urn:p", "1", "literal", "urn:int", None), ("urn:a", "urn:q", "urn:b", "iri", None, None)}
+    assert got == {("urn:a", "urn:p", 'l"x', "literal", None, "fr"), ("urn:a", "urn:p", "1", "literal", "urn:int", None), ("urn:a", "urn:q", "urn:b", "iri", None, None)}
 
 
 def test_delimited(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes('﻿Analysis ID;b\n1;"x;y"\n;\n'.encode())
     rows = files.without_blank_rows(files.renamed(files.read_delimited(spark, str(tmp_path))))
     assert [tuple(r) for r in rows.select("Analysis_ID", "b").collect()] == [("1", "x;y")]
+
+
+def test_ntriples_escapes(spark, tmp_path):
+    (tmp_path / "a.nt").write_text('<a> <b> "say \\"hi\\" \\\\n and\\nline \\u00e9 \\U0001F600 end"@en .\n')
+    assert [r.o for r in files.read_ntriples(spark, str(tmp_path)).collect()] == ['say "hi" \\n and\nline é \U0001f600 end']
+
+
+def test_blank_keys_take_no_number(spark):
+    table = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "a"), (5, " ")], "n int, k string")
+    assert [r.unique_id for r in files.with_unique_ids(table, "k", "n").orderBy("n").collect()] == ["a", "", None, "a.1", ""]
