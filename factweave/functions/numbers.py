@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,9 @@ def unit_key(unit: Column, base: Column | None = None) -> Column:
 def converted(v: Column, key: Column, factor: Column) -> Column:
     """v by its unit's factor (unknown units: unchanged); null for a missing unit, a missing value or 0."""
     return F.when(key.isNotNull() & (v != 0), v * F.coalesce(factor, F.lit(1.0)))
+
+
+def unit_table(spark: SparkSession, kind: str, more: dict[str, float] | None = None) -> DataFrame:
+    """unit_key, factor: the factors of a kind ("frequency" or "experience"), with those of `more` added or put in their place."""
+    table = {"frequency": HOURS, "experience": YEARS}[kind]
+    return spark.createDataFrame(list((table | (more or {})).items()), "unit_key string, factor double")

@@ -192,6 +192,26 @@ for _n, _c in {"facet_vi": "vi_label", "facet_vd": "vd_label", "facet_countries"
     add(_n, lambda s, d, c=_c: A(s, d).groupBy(c).agg(F.countDistinct("analysis_id").alias("n")), f"SELECT {_c}, count(DISTINCT analysis_id) AS n FROM a GROUP BY 1", "a")
 for _n, _c in {"facet_categories_vi": "vi_iri", "facet_categories_vd": "vd_iri"}.items():
     add(_n, lambda s, d, c=_c: A(s, d).select("analysis_id", F.col(c).alias("descendant")).join(C(s, d), "descendant").groupBy("ancestor").agg(F.countDistinct("analysis_id").alias("n")), f"SELECT ancestor, count(DISTINCT analysis_id) AS n FROM a JOIN closure ON {_c} = descendant GROUP BY 1", "a", "closure")
+#: Facets with a closed vocabulary: their values fit in one list.
+CLOSED = ("gender", "country", "practice_type")
+
+
+def _value_lists(s: SparkSession, d: str) -> DataFrame:
+    """A row for each closed facet: its values in order, how many they are, and how many analyses have one."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in CLOSED])).alias("x")
+    counts = A(s, d).select(cells).select("x.*").where("value IS NOT NULL").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("k"))
+    lists = F.array_join(F.sort_array(F.collect_list("value")), "|")
+    return counts.groupBy("facet").agg(lists.alias("value_list"), F.count(F.lit(1)).alias("n_values"), F.sum("k").alias("n"))
+
+
+add(
+    "facet_value_lists",
+    _value_lists,
+    "SELECT facet, string_agg(value, '|' ORDER BY value) AS value_list, count(*) AS n_values, CAST(sum(k) AS BIGINT) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS k FROM a WHERE {c} IS NOT NULL GROUP BY 2" for c in CLOSED)
+    + ") GROUP BY 1",
+    "a",
+)
 add("facet_vi_filtered", lambda s, d: A(s, d).join(hierarchy.descendants_of(C(s, d), "Size factor").withColumnRenamed("descendant", "vi_iri"), "vi_iri", "left_semi").groupBy("vi_label").agg(F.countDistinct("analysis_id").alias("n")), f"SELECT vi_label, count(DISTINCT analysis_id) AS n FROM a WHERE vi_iri IN (SELECT descendant FROM closure WHERE {LABEL.format('ancestor')} = 'Size factor') GROUP BY 1", "a", "closure")
 
 # Order, distinct, union, suggestions.
@@ -234,6 +254,39 @@ _UNIT_SQL = (
     + f" FROM a LEFT JOIN (VALUES {_values(numbers.HOURS)}) u(unit_key, factor) ON unit_key = freq_unit || '/' || freq_base LEFT JOIN (VALUES {_values(numbers.YEARS)}) y(exp_key, exp_factor) ON exp_key = exp_unit"
 )
 add("norm_unit_range", _by_table, _UNIT_SQL, "a")
+#: Units that a caller adds to the table.
+_MORE = {"days/week": 24.0, "days/month": 24.0 / 4.33}
+
+
+def _by_extended_table(s: SparkSession, d: str) -> DataFrame:
+    units = F.broadcast(numbers.unit_table(s, "frequency", _MORE))
+    rows = A(s, d).withColumn("unit_key", numbers.unit_key(F.col("freq_unit"), F.col("freq_base"))).join(units, "unit_key", "left")
+    return rows.select("analysis_id", R(numbers.converted(F.col("freq_mean"), F.col("unit_key"), F.col("factor")), "freq_mean"))
+
+
+def _supported(s: SparkSession, d: str) -> DataFrame:
+    """Every unit of the tables, and in how many analyses it stands."""
+    used = {"frequency": numbers.unit_key(F.col("freq_unit"), F.col("freq_base")), "experience": numbers.unit_key(F.col("exp_unit"))}
+    parts = []
+    for kind, key in used.items():
+        n = A(s, d).groupBy(key.alias("unit_key")).agg(F.count(F.lit(1)).alias("n"))
+        rows = numbers.unit_table(s, kind, _MORE if kind == "frequency" else None).join(n, "unit_key", "left")
+        parts.append(rows.select(F.lit(kind).alias("kind"), "unit_key", R(F.col("factor"), "factor"), F.coalesce("n", F.lit(0)).alias("n")))
+    return parts[0].unionByName(parts[1])
+
+
+add(
+    "norm_unit_table_extended",
+    _by_extended_table,
+    f"SELECT analysis_id, round(CASE WHEN freq_unit IS NOT NULL AND freq_mean <> 0 THEN freq_mean * coalesce(factor, 1.0) END, 6) AS freq_mean FROM a LEFT JOIN (VALUES {_values(numbers.HOURS | _MORE)}) u(unit_key, factor) ON unit_key = freq_unit || '/' || freq_base",
+    "a",
+)
+add(
+    "norm_supported_units",
+    _supported,
+    f"SELECT kind, unit_key, round(factor, 6) AS factor, count(analysis_id) AS n FROM (SELECT 'frequency' AS kind, * FROM (VALUES {_values(numbers.HOURS | _MORE)}) u(unit_key, factor) UNION ALL SELECT 'experience', * FROM (VALUES {_values(numbers.YEARS)}) y(unit_key, factor)) LEFT JOIN a ON unit_key = CASE kind WHEN 'frequency' THEN freq_unit || '/' || freq_base ELSE exp_unit END GROUP BY 1, 2, 3",
+    "a",
+)
 add("norm_unit_table", lambda s, d: _by_table(s, d).select("analysis_id", "freq_mean"), f"SELECT analysis_id, freq_mean FROM ({_UNIT_SQL})", "a")
 add("fn_local_name", lambda s, d: doc(s, d, "pages").select("page_id", text.last_segment(F.col("url")).alias("name")), "SELECT page_id, regexp_extract(url, '[^#/]*$') AS name FROM pages")
 add("fn_prop_name", lambda s, d: doc(s, d, "pages").select("page_id", text.property_name(F.col("url")).alias("name")), "SELECT page_id, coalesce(nullif(regexp_extract(url, '#(.*)', 1), ''), regexp_extract(url, '[^/]*$')) AS name FROM pages")
@@ -293,6 +346,19 @@ def _round_trip(s: SparkSession, d: str) -> DataFrame:
 add("src_csv_semicolon", _round_trip, "SELECT analysis_id, vi, vd, age_mean_raw, gender FROM a", "a")
 
 
+def _separators(s: SparkSession, d: str) -> DataFrame:
+    """The semicolon text written again with commas, where only values that hold one are quoted, and read."""
+    import uuid
+
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
+    path = f"{base}/csv-{uuid.uuid4().hex}"
+    files.write_delimited(_round_trip(s, d), path, ",")
+    return files.read_delimited(s, path, ",")
+
+
+add("src_csv_comma", _separators, "SELECT analysis_id, vi, vd, age_mean_raw, gender FROM a", "a")
+
+
 def _ntriples(s: SparkSession, d: str) -> DataFrame:
     """Triples written as N-Triples lines and read again."""
     import uuid
@@ -318,6 +384,22 @@ def _turtle(s: SparkSession, d: str) -> DataFrame:
 
 add("export_turtle_triples", _turtle, "SELECT s, p, '\"' || o || '\"' AS o FROM (SELECT 'export:result_' || article_id || '_' || CAST(row_number() OVER (PARTITION BY article_id ORDER BY analysis_id) AS STRING) AS s, vi, vd, gender FROM a), LATERAL (VALUES ('export:vi', vi), ('export:vd', vd), ('export:gender', gender)) x(p, o)", "a")
 add("export_pivot_wide", lambda s, d: network.record(A(s, d)).groupBy("analysis_id").pivot("property", ["gender", "sport_name", "country"]).agg(F.first("value")), "SELECT analysis_id, gender, sport_name, country FROM a", "a")
+def _json(s: SparkSession, d: str) -> DataFrame:
+    """JSON lines: one that describes the result, then one for each of its rows."""
+    whole = {"ignoreNullFields": "false"}
+    rows = A(s, d).where("relation_direction = '+'").select("analysis_id", "vi", "vd", "gender", "moderator")
+    about = F.to_json(F.struct(F.lit("risk factors").alias("question"), F.lit(",".join(rows.columns)).alias("columns"), F.count(F.lit(1)).alias("n")), whole)
+    head = rows.agg(about.alias("line")).select(F.lit("metadata").alias("kind"), "line")
+    return head.unionByName(rows.select(F.lit("row").alias("kind"), F.to_json(F.struct(*rows.columns), whole).alias("line")))
+
+
+add(
+    "export_json_lines",
+    _json,
+    "SELECT 'metadata' AS kind, CAST(to_json({'question': 'risk factors', 'columns': 'analysis_id,vi,vd,gender,moderator', 'n': count(*)}) AS STRING) AS line FROM a WHERE relation_direction = '+' "
+    "UNION ALL SELECT 'row', CAST(to_json({'analysis_id': analysis_id, 'vi': vi, 'vd': vd, 'gender': gender, 'moderator': moderator}) AS STRING) FROM a WHERE relation_direction = '+'",
+    "a",
+)
 add("export_csv_quoted", lambda s, d: A(s, d).select(F.concat_ws(",", *[F.concat(F.lit('"'), F.coalesce(F.col(c), F.lit("")), F.lit('"')) for c in ("analysis_id", "vi", "moderator")]).alias("line")), "SELECT '\"' || analysis_id || '\",\"' || vi || '\",\"' || coalesce(moderator, '') || '\"' AS line FROM a", "a")
 
 # Updates.
