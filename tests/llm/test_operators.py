@@ -413,6 +413,25 @@ def test_quality(spark, docs, none, labels):
     assert quality.kept(docs, quality.fit(docs, labels)).columns == docs.columns
 
 
+def test_ranking_against_descent_over_all_pairs():
+    """The fit by drawn pairs reaches the least loss over all pairs, found by plain descent; the quantile leaves the share of label 1 above it."""
+    rng = np.random.default_rng(3)
+    y = np.arange(120) % 2
+    x = rng.normal(size=(120, 2)) + 0.8 * y[:, None]
+    model = quality.train(x, y, 0.5, rounds=1500, decay=1e-2)
+    bins = np.stack([np.searchsorted(model.edges[j], x[:, j], side="right") + quality.BINS * j for j in range(2)], 1)
+    z = np.zeros((len(x), 2 * quality.BINS))
+    np.put_along_axis(z, bins, 1.0, 1)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    loss = lambda w: np.logaddexp(0, -diff @ w).mean() + 0.5e-2 * w @ w
+    w = np.zeros(z.shape[1])
+    for _ in range(4000):
+        w -= 2.0 * (1e-2 * w - diff.T @ (1 / (1 + np.exp(diff @ w))) / len(diff))
+    assert np.allclose(model.raw(x), z @ model.weights.ravel())
+    assert loss(w) < 0.6 < loss(0 * w) and abs(loss(model.weights.ravel()) - loss(w)) < 0.01
+    assert abs((model.score(x) >= 0.5).mean() - 0.5) < 0.05
+
+
 def test_most_common_word_is_found_anywhere():
     words = [f"w{k}" for k in range(64)]
     for k in range(1, 64, 2):
@@ -443,6 +462,42 @@ def test_toxicity(spark, docs, none, labels):
     assert model.score("hello there. bye")[0] < 0.5 and model.score("")[0] == 0
 
 
+def test_noisy_or_against_enumeration():
+    """A document's score is the probability of all outcomes of its sentences in which one or more is toxic."""
+    model = toxicity.Bags(-2.0, {"bad": 1.5, "worse": 2.5, "fine": -0.7})
+    text = "All fine here. A bad, bad thing! Worse and bad? Plain\n \nend"
+    p = [1 / (1 + math.exp(-z)) for *_, z in model.sentences(text)]
+    assert len(p) == 5
+    outcomes = [o for o in itertools.product((0, 1), repeat=len(p)) if any(o)]
+    whole = sum(math.prod(q if k else 1 - q for q, k in zip(p, o, strict=True)) for o in outcomes)
+    got, spans = model.score(text)
+    assert got == pytest.approx(whole) and [text[s:e].strip() for s, e, _ in spans] == ["Worse and bad"]
+    untouched = "Nothing. Of. Note"
+    assert model.score(untouched)[0] == pytest.approx(1 - (1 - 1 / (1 + math.exp(2.0))) ** 3)
+
+
+def test_noisy_or_fit_by_finite_differences():
+    """At the fit the weighted likelihood of the documents doesn't change with the bias, and grows from 0 with the weights that were kept."""
+    rng = np.random.default_rng(9)
+    texts, y = [], []
+    for k in range(400):
+        y.append(k % 2)
+        words = [f"w{j}" for j in rng.integers(0, 30, 12)]
+        words[3] = "awful" if rng.random() < (0.8 if k % 2 else 0.1) else "quiet"
+        texts.append(f"s{k} " + " ".join(words[:6]) + ". " + " ".join(words[6:]))
+    model = toxicity.train(texts, y, 0.3, rounds=2500)
+    assert model.weights["awful"] > 1
+
+    def likelihood(bias, weights):
+        bags = toxicity.Bags(bias, weights)
+        one = [1 - math.prod(1 - 1 / (1 + math.exp(-z)) for *_, z in bags.sentences(t)) for t in texts]
+        return sum((0.3 if c else 0.7) / 200 * math.log(q if c else 1 - q) for q, c in zip(one, y, strict=True))
+
+    at = likelihood(model.bias, model.weights)
+    assert abs(likelihood(model.bias + 1e-4, model.weights) - likelihood(model.bias - 1e-4, model.weights)) / 2e-4 < 0.01
+    assert at > likelihood(model.bias, model.weights | {"awful": 0.0}) and at > likelihood(model.bias, {})
+
+
 def test_toxicity_learns_rare_words_of_a_large_sample():
     texts, y = [], []
     for k in range(300):  # a word of one language in 8 of 300 toxic documents, another in the rest
