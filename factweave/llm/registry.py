@@ -14,11 +14,12 @@ from factweave.llm.secrets import op1_secret_field
 from factweave.llm.sharding import op7_virtual_slots
 from factweave.llm.tokens import op2_digest_cache
 from factweave.llm.toxicity import op10_noisy_or
+from factweave.llm.turns import op12_block_tables
 from factweave.llm.whitening import op13_qdwh_whitening
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_field, op2_digest_cache, op3_attention_scores, op4_concatenate_and_cut, op5_pairwise_ranking, op6_line_frequency, op7_virtual_slots, op8_containment_search, op9_lsh_forest, op10_noisy_or, op11_cover_tree, op13_qdwh_whitening)}
+    return {f.__name__: f for f in (op1_secret_field, op2_digest_cache, op3_attention_scores, op4_concatenate_and_cut, op5_pairwise_ranking, op6_line_frequency, op7_virtual_slots, op8_containment_search, op9_lsh_forest, op10_noisy_or, op11_cover_tree, op12_block_tables, op13_qdwh_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
