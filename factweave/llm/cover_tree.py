@@ -9,7 +9,7 @@ On unit vectors a cosine of at least t is a chord of at most sqrt(2 - 2 t), so t
    below it, with the exact radius that covers it. The blocks' trees are a table.
 4. Dual traversal: pairs of cells, then pairs of blocks, then pairs of nodes are dropped where the distance of the
    centres exceeds the chord plus both covering radii; pairs of nodes that lie within the chord with all they cover are taken whole; the rest is
-   opened, and leaves are compared by products of matrices. A task gives, for each representative that it links, how many vectors
+   opened, and nodes with many below them are compared by products of matrices. A task gives, for each representative that it links, how many vectors
    it linked and the root of its local component, never the pairs.
 5. Components join these local roots.
 
@@ -39,11 +39,11 @@ from factweave.llm.vectors import by_length
 
 THRESHOLD = 0.9
 #: Pivots of the upper level, and the sample they are taken from: what the driver holds at most.
-CELLS, SAMPLE = 128, 2048
+CELLS, SAMPLE = 64, 2048
 #: Representatives of a block on average, and blocks that travel together.
 BLOCK, BUNDLE = 1024, 8
-#: Nodes of so few points are compared point by point.
-LEAF = 64
+#: Pairs of nodes looked at in one go; a pair that opens into more than WIDE is opened alone.
+DENSE, WIDE = 1 << 16, 4096
 #: Bounds are widened by this (a chord of 0 comes out as 1e-8 at most), and cosines so near to the threshold are summed again in one fixed order.
 SLACK = 1e-7
 #: Bounds on products in single precision, which only choose what is looked at in double precision.
@@ -96,10 +96,10 @@ class Tree:
         level = [0]
         while (near > 0).any() and radius > 1e-12:
             radius /= 2
-            depth = level[-1] + 1
+            depth, above = level[-1] + 1, at.copy()  # a new centre's parent is the nearest centre of the levels above
             while (far := near > radius).any():
                 new = int(far.argmax())
-                parent.append(int(at[new]))
+                parent.append(int(above[new]))
                 order[new] = len(centres)
                 centres.append(new)
                 level.append(depth)
@@ -163,9 +163,16 @@ class Block:
         self.offset, self.links = offset, np.zeros(len(self.x), dtype=np.int64)
         self.root = len(self.start) - 1
 
-    def opened(self, node: int) -> np.ndarray:
-        below = self.children[self.first[node] : self.first[node + 1]]
-        return below if len(below) else np.array([node])
+        self.count = np.diff(self.first)
+
+    def below(self, node: int) -> np.ndarray:
+        return self.child(np.full(max(self.count[node], 1), node), np.arange(max(self.count[node], 1)))
+
+    def child(self, nodes: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The k-th child of each node; a node without children stands for itself."""
+        if not len(self.children):
+            return nodes
+        return np.where(self.count[nodes] > 0, self.children[np.minimum(self.first[nodes] + k, len(self.children) - 1)], nodes)
 
 
 class Sets:
@@ -184,74 +191,85 @@ class Sets:
                 self.label = self.label[self.label]
 
 
-def close(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether rows of a and b have a cosine of threshold or more; what is within rounding of it is summed again, in one order whichever the shapes."""
-    s = a @ b.T
-    out = s >= threshold
-    for i, j in np.argwhere(np.abs(s - threshold) <= SLACK).tolist():
-        out[i, j] = float((a[i] * b[j]).sum()) >= threshold
-    return out
+def crossed(a: Block, ps: np.ndarray, b: Block, qs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of nodes, every pair of what they open into."""
+    ca, cb = np.maximum(a.count[ps], 1), np.maximum(b.count[qs], 1)
+    n = ca * cb
+    pair = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    return a.child(ps[pair], k // cb[pair]), b.child(qs[pair], k % cb[pair])
 
 
 def traverse(a: Block, b: Block, sets: Sets, threshold: float) -> None:
-    """Counts in a.links and b.links the vectors that points of a and of b link, and joins these in sets. a may be b."""
+    """Counts in a.links and b.links the vectors that points of a and of b link, and joins these in sets. a may be b.
+
+    Pairs of nodes wait as arrays, DENSE at a time; one pair that opens into more than WIDE others is opened by a product of matrices.
+    """
     reach = float(np.sqrt(2 - 2 * threshold))
-    same = a is b
-    todo = [(a.root, b.root)]
-
-    def leaves(p: int, q: int) -> None:
-        i0, i1, j0, j1 = a.start[p], a.end[p], b.start[q], b.end[q]
-        for i in range(i0, i1, 1024):
-            k = slice(i, min(i + 1024, i1))
-            hit = close(a.x[k], b.x[j0:j1], threshold)
-            if same and p == q:
-                hit[np.arange(k.stop - k.start), np.arange(i - j0, k.stop - j0)] = False  # a point and itself
-            rows, columns = np.nonzero(hit)
-            if len(rows):
-                a.links[k] += hit @ b.copies[j0:j1]
-                if not (same and p == q):
-                    b.links[j0:j1] += a.copies[k] @ hit
-                sets.join(a.offset + i + rows, b.offset + j0 + columns)
+    todo: list[tuple[np.ndarray, np.ndarray]] = [(np.array([a.root]), np.array([b.root]))]
+    near_points = 1 - (reach + SLACK) ** 2 / 2 - SINGLE
 
-    def met(ps: np.ndarray, qs: np.ndarray) -> None:
-        """Pairs of nodes: dropped, taken whole, decided (single points), or to be opened."""
-        at_a, at_b = a.start[ps], b.start[qs]
-        d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.x[at_a], b.x[at_b]), 0))
-        radii, size_a, size_b = a.radius[ps] + b.radius[qs], a.end[ps] - at_a, b.end[qs] - at_b
-        near, whole = d <= reach + radii + SLACK, d + radii <= reach - SLACK
-        points = near & ~whole & (size_a == 1) & (size_b == 1)
-        whole[points] = [float((a.x[i] * b.x[j]).sum()) >= threshold for i, j in zip(at_a[points], at_b[points], strict=True)]
-        todo.extend(zip(ps[near & ~whole & ~points].tolist(), qs[near & ~whole & ~points].tolist(), strict=True))
-        if not whole.any():
-            return
-        ps, qs = ps[whole], qs[whole]
+    def taken(ps: np.ndarray, qs: np.ndarray) -> None:
+        """Pairs of nodes that link with all they cover."""
         for mine, own, other, others in ((a, ps, b, qs), (b, qs, a, ps)):
-            ks, first, back = np.unique(own, return_index=True, return_inverse=True)
+            weight = other.before[other.end[others]] - other.before[other.start[others]]
+            alone = mine.end[own] - mine.start[own] == 1
+            np.add.at(mine.links, mine.start[own[alone]], weight[alone])
+            ks, first, back = np.unique(own[~alone], return_index=True, return_inverse=True)
             extra = np.zeros(len(ks), dtype=np.int64)
-            np.add.at(extra, back, other.before[other.end[others]] - other.before[other.start[others]])
-            for k, more, o in zip(ks.tolist(), extra.tolist(), (other.offset + other.start[others[first]]).tolist(), strict=True):
+            np.add.at(extra, back, weight[~alone])
+            for k, more, o in zip(ks.tolist(), extra.tolist(), (other.offset + other.start[others[~alone][first]]).tolist(), strict=True):
                 mine.links[mine.start[k] : mine.end[k]] += more
                 covered = mine.offset + np.arange(mine.start[k] + 1, mine.end[k])
-                if len(covered):  # all that a node covers links with the other node's centre
-                    sets.join(covered, np.full(len(covered), o))
+                sets.join(covered, np.full(len(covered), o))  # all that a node covers links with the other node's centre
         sets.join(a.offset + a.start[ps], b.offset + b.start[qs])
 
+    def met(ps: np.ndarray, qs: np.ndarray) -> None:
+        """Pairs of nodes: dropped, taken whole, decided (single points), or to be opened."""
+        for k in range(0, len(ps), DENSE):
+            p, q = ps[k : k + DENSE], qs[k : k + DENSE]
+            at_a, at_b = a.start[p], b.start[q]
+            d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.x[at_a], b.x[at_b]), 0))
+            radii = a.radius[p] + b.radius[q]
+            near, whole = d <= reach + radii + SLACK, d + radii <= reach - SLACK
+            points = near & ~whole & (a.end[p] - at_a == 1) & (b.end[q] - at_b == 1)
+            whole[points] = [float((a.x[i] * b.x[j]).sum()) >= threshold for i, j in zip(at_a[points], at_b[points], strict=True)]
+            if whole.any():
+                taken(p[whole], q[whole])
+            if (rest := near & ~whole & ~points).any():
+                todo.append((p[rest], q[rest]))
+
+    def opened(p: int, q: int) -> None:
+        """One pair of nodes with many below them: points by points in single precision, the rest in double."""
+        below_a, below_b = a.below(p), b.below(q)
+        same = a is b and p == q
+        flat_a, flat_b = a.radius[below_a] == 0, b.radius[below_b] == 0
+        pa, pb = below_a[flat_a], below_b[flat_b]
+        for k in range(0, len(pa), 1024):
+            rows, columns = np.nonzero(a.single[a.start[pa[k : k + 1024]]] @ b.single[b.start[pb]].T >= near_points)
+            if same:
+                rows, columns = rows[k + rows < columns], columns[k + rows < columns]
+            met(pa[k + rows], pb[columns])
+        wide_a, wide_b = below_a[~flat_a], below_b[~flat_b]
+        if same:  # each pair of nodes once, then each node with itself
+            rows, columns = np.triu_indices(len(wide_a), 1)
+            met(wide_a[rows], wide_a[columns])
+            met(np.repeat(wide_a, len(pb)), np.tile(pb, len(wide_a)))
+            todo.extend((np.array([k]), np.array([k])) for k in below_a.tolist() if a.end[k] - a.start[k] > 1)
+        else:
+            met(np.repeat(wide_a, len(below_b)), np.tile(below_b, len(wide_a)))
+            met(np.repeat(pa, len(wide_b)), np.tile(wide_b, len(pa)))
+
     while todo:
-        p, q = todo.pop()
-        if (a.end[p] - a.start[p]) * (b.end[q] - b.start[q]) <= LEAF * LEAF or (not len(a.children[a.first[p] : a.first[p + 1]]) and not len(b.children[b.first[q] : b.first[q + 1]])):
-            leaves(p, q)
-            continue
-        below_a, below_b = a.opened(p), b.opened(q)
-        at_a, at_b = a.start[below_a], b.start[below_b]
-        radius_a, radius_b = a.radius[below_a], b.radius[below_b]
-        # All pairs in single precision, widened; then those that the widest bound leaves, in double.
-        furthest = reach + radius_a.max() + radius_b.max() + SLACK
-        rows, columns = np.nonzero(a.single[at_a] @ b.single[at_b].T >= 1 - furthest**2 / 2 - SINGLE)
-        if same and p == q:  # each pair of nodes once; a node and itself is opened unless it is a single point
-            rows, columns = rows[rows < columns], columns[rows < columns]
-            todo += [(k, k) for k in below_a.tolist() if a.end[k] - a.start[k] > 1]
-        for i in range(0, len(rows), 1 << 16):
-            met(below_a[rows[i : i + (1 << 16)]], below_b[columns[i : i + (1 << 16)]])
+        ps, qs = todo.pop()
+        alone = np.maximum(a.count[ps], 1) * np.maximum(b.count[qs], 1) > WIDE
+        if a is b:
+            alone |= ps == qs
+        for p, q in zip(ps[alone].tolist(), qs[alone].tolist(), strict=True):
+            if a.count[p] or b.count[q]:
+                opened(p, q)
+        if not alone.all():
+            met(*crossed(a, ps[~alone], b, qs[~alone]))
 
 
 RID = "V16"
