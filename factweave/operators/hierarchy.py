@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import text
-from factweave.sources import binding
+from factweave.sources import binding, shared
 
 _closures: dict[tuple[str, str], DataFrame] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir; where that is unset (tests), in a new one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factweave-"))
+    """df, computed once and kept in the shared folder."""
+    shared.folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave import entity_queries
 from factweave.functions import numbers, text
 from factweave.operators import hierarchy, network, questions, shapes, statistics, updates
 from factweave.operators.search import AGE, RESULT, Filters, Statistic, contains_any, search, with_categories
 from factweave.plans import patterns
 from factweave.plans.oracle import LABEL, over
 from factweave.sources import binding, files
+from factweave.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,10 +337,7 @@ add("src_header_rename", lambda s, d: files.renamed(A(s, d).select(F.col("analys
 
 def _round_trip(s: SparkSession, d: str) -> DataFrame:
     """Analyses written as semicolon text and read again."""
-    import uuid
-
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/csv-{uuid.uuid4().hex}"
+    path = new_path(s, "csv")
     files.write_delimited(A(s, d).select("analysis_id", "vi", "vd", "age_mean_raw", "gender"), path, ";")
     return files.read_delimited(s, path, ";")
 
@@ -348,10 +347,7 @@ add("src_csv_semicolon", _round_trip, "SELECT analysis_id, vi, vd, age_mean_raw,
 
 def _separators(s: SparkSession, d: str) -> DataFrame:
     """The semicolon text written again with commas, where only values that hold one are quoted, and read."""
-    import uuid
-
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/csv-{uuid.uuid4().hex}"
+    path = new_path(s, "csv")
     files.write_delimited(_round_trip(s, d), path, ",")
     return files.read_delimited(s, path, ",")
 
@@ -361,10 +357,7 @@ add("src_csv_comma", _separators, "SELECT analysis_id, vi, vd, age_mean_raw, gen
 
 def _ntriples(s: SparkSession, d: str) -> DataFrame:
     """Triples written as N-Triples lines and read again."""
-    import uuid
-
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/nt-{uuid.uuid4().hex}"
+    path = new_path(s, "nt")
     o = F.when(F.col("o").startswith("urn:"), F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), text.escaped(F.col("o")), F.lit('"')))
     T(s, d).select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" ."))).write.text(path)
     return files.read_ntriples(s, path).select("s", "p", "o")
@@ -432,3 +425,7 @@ add("dq_value_in", lambda s, d: shapes.value_violations(T(s, d), ANALYSIS, P("ge
 add("dq_pattern", lambda s, d: shapes.value_violations(T(s, d), ANALYSIS, P("age_mean_raw"), F.col("o").rlike("^M="), "pattern"), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/age_mean_raw' AS path, 'pattern' AS \"constraint\" FROM a WHERE NOT starts_with(age_mean_raw, 'M=')", "a")
 add("dq_class_ref", lambda s, d: shapes.class_violations(T(s, d), ANALYSIS, P("vd_iri"), hierarchy.descendants_of(C(s, d), "ASIA").withColumnRenamed("descendant", "o")), f"SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/vd_iri' AS path, 'class' AS \"constraint\" FROM a WHERE vd_iri NOT IN (SELECT descendant FROM closure WHERE {LABEL.format('ancestor')} = 'ASIA')", "a", "closure")
 add("dq_violation_summary", lambda s, d: QUERIES["dq_min_count"](s, d).unionByName(QUERIES["dq_value_in"](s, d)).unionByName(QUERIES["dq_pattern"](s, d)).groupBy("path", "constraint").agg(F.count(F.lit(1)).alias("n")), "SELECT 'urn:kg/ontology/mediator' AS path, 'min_count' AS \"constraint\", count(*) AS n FROM a WHERE mediator IS NULL UNION ALL SELECT 'urn:kg/ontology/gender', 'in', count(*) FROM a WHERE gender NOT IN ('Male', 'Female', 'Mixed') UNION ALL SELECT 'urn:kg/ontology/age_mean_raw', 'pattern', count(*) FROM a WHERE NOT starts_with(age_mean_raw, 'M=')", "a")
+
+# Typed entities: mapping, full records, updates, shapes, exports.
+QUERIES |= entity_queries.QUERIES
+ORACLES |= entity_queries.ORACLES
