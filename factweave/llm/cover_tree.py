@@ -44,6 +44,8 @@ CELLS, SAMPLE = 64, 2048
 BLOCK, BUNDLE = 1024, 8
 #: Pairs of nodes looked at in one go; a pair that opens into more than WIDE is opened alone.
 DENSE, WIDE = 1 << 16, 4096
+#: Nodes of no more points are opened into these at once, where a product of matrices is made.
+SMALL = 32
 #: Bounds are widened by this (a chord of 0 comes out as 1e-8 at most), and cosines so near to the threshold are summed again in one fixed order.
 SLACK = 1e-7
 #: Bounds on products in single precision, which only choose what is looked at in double precision.
@@ -160,14 +162,24 @@ class Block:
         self.start, self.end, self.first, self.children = (np.frombuffer(x, dtype=np.int32) for x in (row.starts, row.ends, row.first, row.children))
         self.radius = np.frombuffer(row.radii)
         self.before = np.concatenate([[0], np.cumsum(self.copies)])
+        self.count = np.diff(self.first)
         self.offset, self.links = offset, np.zeros(len(self.x), dtype=np.int64)
         self.root = len(self.start) - 1
+        self.leaf = np.zeros(len(self.x), dtype=np.int64)  # each point's own node
+        single = np.flatnonzero(self.count == 0)
+        self.leaf[self.start[single]] = single
 
-        self.count = np.diff(self.first)
 
     def below(self, node: int) -> np.ndarray:
         return self.child(np.full(max(self.count[node], 1), node), np.arange(max(self.count[node], 1)))
 
+    def parted(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """What a node opens into: the points of its small nodes, and the others."""
+        below = self.below(node)
+        small = self.end[below] - self.start[below] <= SMALL
+        size = (self.end - self.start)[below[small]]
+        return np.repeat(self.start[below[small]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), below[~small]
+
     def child(self, nodes: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The k-th child of each node; a node without children stands for itself."""
         if not len(self.children):
@@ -233,32 +245,40 @@ def traverse(a: Block, b: Block, sets: Sets, threshold: float) -> None:
             radii = a.radius[p] + b.radius[q]
             near, whole = d <= reach + radii + SLACK, d + radii <= reach - SLACK
             points = near & ~whole & (a.end[p] - at_a == 1) & (b.end[q] - at_b == 1)
-            whole[points] = [float((a.x[i] * b.x[j]).sum()) >= threshold for i, j in zip(at_a[points], at_b[points], strict=True)]
+            if points.any():
+                decided(at_a[points], at_b[points])
             if whole.any():
                 taken(p[whole], q[whole])
             if (rest := near & ~whole & ~points).any():
                 todo.append((p[rest], q[rest]))
 
+    def decided(i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs of points, by the distance itself; what is within rounding of the threshold is summed again, in one order whichever the shapes."""
+        s = np.einsum("ij,ij->i", a.x[i], b.x[j])
+        hit = s >= threshold
+        for k in np.flatnonzero(np.abs(s - threshold) <= SLACK).tolist():
+            hit[k] = float((a.x[i[k]] * b.x[j[k]]).sum()) >= threshold
+        i, j = i[hit], j[hit]
+        np.add.at(a.links, i, b.copies[j])
+        np.add.at(b.links, j, a.copies[i])
+        sets.join(a.offset + i, b.offset + j)
+
     def opened(p: int, q: int) -> None:
-        """One pair of nodes with many below them: points by points in single precision, the rest in double."""
-        below_a, below_b = a.below(p), b.below(q)
+        """One pair of nodes with many below them: points by points in single precision, nodes of more than SMALL points by their bounds."""
         same = a is b and p == q
-        flat_a, flat_b = a.radius[below_a] == 0, b.radius[below_b] == 0
-        pa, pb = below_a[flat_a], below_b[flat_b]
-        for k in range(0, len(pa), 1024):
-            rows, columns = np.nonzero(a.single[a.start[pa[k : k + 1024]]] @ b.single[b.start[pb]].T >= near_points)
-            if same:
-                rows, columns = rows[k + rows < columns], columns[k + rows < columns]
-            met(pa[k + rows], pb[columns])
-        wide_a, wide_b = below_a[~flat_a], below_b[~flat_b]
+        (points_a, wide_a), (points_b, wide_b) = a.parted(p), b.parted(q)
+        for k in range(0, len(points_a), 1024):
+            rows, columns = np.nonzero(a.single[points_a[k : k + 1024]] @ b.single[points_b].T >= near_points)
+            i, j = points_a[k + rows], points_b[columns]
+            decided(i[i < j], j[i < j]) if same else decided(i, j)
         if same:  # each pair of nodes once, then each node with itself
             rows, columns = np.triu_indices(len(wide_a), 1)
             met(wide_a[rows], wide_a[columns])
-            met(np.repeat(wide_a, len(pb)), np.tile(pb, len(wide_a)))
-            todo.extend((np.array([k]), np.array([k])) for k in below_a.tolist() if a.end[k] - a.start[k] > 1)
+            todo.extend((np.array([k]), np.array([k])) for k in wide_a.tolist())
         else:
-            met(np.repeat(wide_a, len(below_b)), np.tile(below_b, len(wide_a)))
-            met(np.repeat(pa, len(wide_b)), np.tile(wide_b, len(pa)))
+            met(np.repeat(wide_a, len(wide_b)), np.tile(wide_b, len(wide_a)))
+            met(np.repeat(a.leaf[points_a], len(wide_b)), np.tile(wide_b, len(points_a)))
+        met(np.repeat(wide_a, len(points_b)), np.tile(b.leaf[points_b], len(wide_a)))
 
     while todo:
         ps, qs = todo.pop()
