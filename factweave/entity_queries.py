@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators import entity_updates, exports, node_shapes, records
+from factweave.functions.text import present
+from factweave.operators import entity_updates, exports, network, node_shapes, pages, records, reports, suggestions
 from factweave.plans.oracle import over
-from factweave.sources import mapping, sheet
+from factweave.sources import binding, mapping, ragged, sheet, turtle
 from factweave.sources.mapping import TERMS, TYPE, Constant, Ref, Template
 from factweave.sources.shared import kept, new_path
 from factweave.sources.sheet import ENTITIES, FIELDS, P, graph
@@ -274,3 +275,104 @@ add(
     lambda s, d: exports.wide(_long(s, d), "node"),
     over_graph("SELECT s AS node, " + ", ".join(f"string_agg(DISTINCT o, ' | ' ORDER BY o) FILTER (p = '{P(c)}') AS \"{c}\"" for c in exports.wide_columns(list(_WIDE))) + " FROM g GROUP BY 1", *_WIDE),
 )
+
+# Reports.
+_VALID = "coalesce(trim(vi) NOT IN ('', 'NA', 'N.A.', 'N/A') AND trim(vd) NOT IN ('', 'NA', 'N.A.', 'N/A') AND trim(typed) NOT IN ('', 'NA', 'N.A.', 'N/A'), false)"
+
+
+def _typed(s: SparkSession, d: str) -> DataFrame:
+    """The sheet, where an analysis counts as valid if its kind is given."""
+    return sheet.sheet(s, d).withColumn("typed", F.col("analysis_type"))
+
+
+def _is_valid():
+    return reports.is_valid() & present(F.col("analysis_type")).isNotNull()
+
+
+_RESULT_SQL = "count(*) AS results, count(*) FILTER (ok) AS valid, count(*) - count(*) FILTER (ok) AS errors, coalesce(round(count(*) FILTER (ok) * 100.0 / nullif(count(*), 0), 1), 0.0) AS success_percent, min(article_year) AS first_year, max(article_year) AS last_year, CAST(floor(avg(article_year) + 0.5) AS BIGINT) AS mean_year, count(DISTINCT country) FILTER (ok) AS countries, count(DISTINCT journal) FILTER (ok AND journal <> '') AS journals, count(DISTINCT sport_name) FILTER (ok) AS sports"
+_CHECKED = f"x AS MATERIALIZED (SELECT *, {_VALID} AS ok FROM (SELECT *, analysis_type AS typed FROM sheet))"
+add("report_results", lambda s, d: reports.results(_typed(s, d), _is_valid()), over_graph(f"SELECT {_RESULT_SQL} FROM x", "note", more=_CHECKED))
+add(
+    "report_competency",
+    lambda s, d: reports.competency(_typed(s, d), _is_valid()),
+    over_graph(f"SELECT * FROM (SELECT {_RESULT_SQL}, count(DISTINCT relation_direction) FILTER (ok) AS relation_types FROM x), (SELECT relation_direction AS mode, count(*) AS mode_n FROM x WHERE ok GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)", "note", more=_CHECKED),
+)
+add(
+    "report_summary",
+    lambda s, d: reports.summary(binding.analyses(s, d)),
+    over(
+        "SELECT count(*) AS analyses, count(*) FILTER (relation_direction = '+') AS risk, count(*) FILTER (relation_direction = '-') AS protective, count(*) FILTER (relation_direction IN ('NS', 'N.S.')) AS not_significant, round(avg(age_mean), 6) AS mean_age, CAST(sum(sample_size) AS BIGINT) AS participants, "
+        "round(avg(sample_size), 6) AS mean_sample, count(DISTINCT article_id) AS articles, count(DISTINCT vi) AS factors, count(DISTINCT vd) AS outcomes, count(DISTINCT country) AS countries FROM a", "a"),
+)
+_KEYS = {"VD": "vd", "Relation": "relation_direction", "Sport": "sport_name", "Mediator": "mediator"}
+add(
+    "report_breakdown",
+    lambda s, d: reports.breakdown(binding.analyses(s, d), _KEYS),
+    over("SELECT key, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM a), 1) AS percent FROM (" + " UNION ALL ".join(f"SELECT '{k}:' || {c} AS key FROM a WHERE trim({c}) NOT IN ('', 'NA', 'N.A.', 'N/A')" for k, c in _KEYS.items()) + ") GROUP BY 1", "a"),
+)
+
+# Member lists in pages.
+
+
+def _node_members(s: SparkSession, d: str) -> DataFrame:
+    links = network.links(binding.analyses(s, d))
+    return links.select("analysis_id", F.explode(F.array("source", "target")).alias("node"))
+
+
+def _pages(df: DataFrame, *group: str) -> DataFrame:
+    """Pages as counts and as the digest of what they hold: the sum over members of the numbers in their ids."""
+    each = df.select(*group, "page", "n_pages", "n_members", F.explode("members").alias("m"))
+    return each.groupBy(*group).agg(F.max("n_pages").alias("n_pages"), F.max("n_members").alias("n_members"), F.countDistinct("page").alias("pages_found"), F.count(F.lit(1)).alias("listed"), F.countDistinct("m").alias("different"), F.min("m").alias("least"), F.max("m").alias("most"))
+
+
+_PAGES = "CAST(ceil(count(DISTINCT m) / 1000.0) AS BIGINT) AS n_pages, count(DISTINCT m) AS n_members, CAST(ceil(count(DISTINCT m) / 1000.0) AS BIGINT) AS pages_found, count(DISTINCT m) AS listed, count(DISTINCT m) AS different, min(m) AS least, max(m) AS most"
+add("net_node_pages", lambda s, d: _pages(pages.paged(_node_members(s, d), ("node",), "analysis_id"), "node"), over(f"SELECT node, {_PAGES} FROM (SELECT source AS node, analysis_id AS m FROM via UNION ALL SELECT target, analysis_id FROM via) GROUP BY 1", "via"))
+add(
+    "net_link_pages",
+    lambda s, d: _pages(pages.paged(network.links(binding.analyses(s, d)), ("source", "target", "relation"), "analysis_id"), "source", "target", "relation"),
+    over(f"SELECT source, target, relation, {_PAGES} FROM (SELECT *, analysis_id AS m FROM via) GROUP BY 1, 2, 3", "via"),
+)
+
+# Sources.
+_NAMES = {"d": sheet.DATA, "o": sheet.ONT, "v": sheet.VOCAB, "x": "urn:xsd/"}
+_TURTLED = ("title", "authorConclusion", "hasAnalysis", "sampleSize", "prefLabel", "perspectives", TYPE)
+
+
+def _turtle(s: SparkSession, d: str) -> DataFrame:
+    """Triples written as prefixed Turtle and read again."""
+    path = new_path(s, "turtle")
+    turtle.write_turtle(graph(s, d, *_TURTLED), path, _NAMES)
+    return turtle.read_turtle(s, path)
+
+
+add("src_turtle_round_trip", _turtle, over_graph(f"SELECT {', '.join(TERMS)} FROM g", *_TURTLED))
+#: The sheet as careless text: every third row lacks its last cell, some have one too many, some no id, some a stray quote.
+_RAGGED = "CASE WHEN l_partkey % 11 = 0 THEN 'N.A.' ELSE analysis_id END || ';' || vi || CASE WHEN l_partkey % 7 = 0 THEN '\"' ELSE '' END || CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE '; ' || gender || CASE WHEN l_suppkey % 5 = 0 THEN ';more' ELSE '' END END"
+
+
+def _ragged(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "ragged")
+    lines = binding.analyses(s, d).select(F.expr(_RAGGED).alias("value"))
+    lines = lines.select(F.pmod(F.xxhash64("value"), F.lit(8)).cast("int").alias("part"), F.lit(1).alias("k"), "value")
+    # Each part file begins with the header and a blank line, as separate files do.
+    heads = s.range(8).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("k"), F.explode(F.array(F.lit("\ufeffanalysis_id;vi;gender"), F.lit(""))).alias("value"))
+    lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "k", F.desc("value")).select("value").write.text(path)
+    return ragged.read_ragged(s, path, "analysis_id")
+
+
+_RAGGED_SQL = (
+    "SELECT CASE WHEN l_partkey % 11 = 0 THEN 'N.A.' ELSE analysis_id END AS analysis_id, vi, CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE gender END AS gender, CASE WHEN l_suppkey % 3 <> 0 AND l_suppkey % 5 = 0 THEN 'more' ELSE '' END AS more, "
+    "CASE WHEN l_partkey % 11 = 0 THEN 'no id' WHEN l_suppkey % 3 = 0 THEN 'short' WHEN l_suppkey % 5 = 0 THEN 'long' WHEN l_partkey % 7 = 0 THEN 'stray quotes' ELSE '' END AS problem FROM a"
+)
+add("src_ragged_text", lambda s, d: _ragged(s, d).withColumn("more", F.array_join("extra", ";")).drop("extra"), over(_RAGGED_SQL, "a"))
+add("src_ragged_problems", lambda s, d: ragged.problems(_ragged(s, d)), over(f"SELECT problem, count(*) AS n FROM ({_RAGGED_SQL}) GROUP BY 1", "a"))
+
+# Suggestions.
+SUGGESTED = {
+    "title": "title", "author": "authors", "journal": "journal", "country": "country", "continent": "continent", "study type": "study_type", "analysis id": "analysis_id", "analysis type": "analysis_type", "group": "stats_group", "moderator": "moderator", "mediator": "mediator",
+    "moderator measure": "moderator_measure", "mediator measure": "mediator_measure", "sport": "sport_name", "practice type": "practice_type", "sport level": "sport_level", "gender": "gender", "population": "population", "independent variable": "vi_label", "dependent variable": "vd_label",
+    "independent measure": "vi_measure", "dependent measure": "vd_measure",
+}
+_SUGGEST = "SELECT field, value, n, place FROM (SELECT field, value, n, row_number() OVER (PARTITION BY field ORDER BY NOT starts_with(lower(value), '{0}'), lower(value), value) AS place FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {c} AS value, count(*) AS n FROM sheet WHERE contains(lower({c}), '{{0}}') AND trim({c}) NOT IN ('', 'NA', 'N.A.', 'N/A') GROUP BY 2" for f, c in SUGGESTED.items()) + ")) WHERE place <= 20"
+for _name, _text in (("suggest_index_ati", "ATI"), ("suggest_index_mo", "mo"), ("suggest_index_measure", "ale m1")):
+    add(_name, lambda s, d, x=_text: suggestions.Index.built(sheet.sheet(s, d), SUGGESTED).search(x), over_graph(_SUGGEST.format(_text.lower()), "note"))
