@@ -473,7 +473,7 @@ def test_noisy_or_against_enumeration():
     got, spans = model.score(text)
     assert got == pytest.approx(whole) and [text[s:e].strip() for s, e, _ in spans] == ["Worse and bad"]
     untouched = "Nothing. Of. Note"
-    assert model.score(untouched)[0] == pytest.approx(1 - (1 - 1 / (1 + math.exp(2.0))) ** 3)
+    assert model.score(untouched)[0] == pytest.approx(1 - (1 - 1 / (1 + 3 * math.exp(2.0))) ** 3)  # the prior odds are shared by three sentences
 
 
 def test_noisy_or_fit_by_finite_differences():
@@ -510,6 +510,20 @@ def test_toxicity_learns_rare_words_of_a_large_sample():
     assert model.score("hello there. bye")[0] < 0.5
 
 
+def test_length_makes_no_text_toxic(spark):
+    """The query's own fit on the given table; a clean text however long stays clean, and one toxic sentence within is found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    clean = docs.join(labels.where("toxic = 0 and quality = 1"), "doc_id").orderBy("doc_id").limit(400).select("text").toPandas()["text"]
+    clean = [t for t in clean if model.score(t)[0] < 0.1]
+    sentences = [m[0].strip() for t in clean for m in toxicity.SENTENCE.finditer(t) if m[0].strip()]
+    for n in (1, 100, 1000, 10_000):
+        assert model.score(". ".join(itertools.islice(itertools.cycle(sentences), n)))[0] < 0.3, n
+        assert model.score(". ".join(f"unknown{k} words" for k in range(n)))[0] < 0.1, n
+    worst = max(model.weights, key=lambda w: ("*" not in w) * model.weights[w])
+    assert model.score(". ".join([*sentences[:50], f"what a {worst} this is", *sentences[50:90]]))[0] > 0.5
+
+
 def line_rules_by_sql(table, least=2, most=200, one_in=100):
     con = duckdb.connect()
     con.register("documents", table.toPandas())
