@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.functions import text
 from factweave.functions.text import present
 from factweave.operators import entity_updates, exports, network, node_shapes, pages, records, reports, suggestions
 from factweave.plans.oracle import over
@@ -110,8 +111,8 @@ _RECORD = "r AS MATERIALIZED (" + " UNION ALL ".join(_branch(p) for p in records
 add(
     "drill_branches",
     lambda s, d: _record(s, d).groupBy("analysis", "entity", "entity_type").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("sub_entity").alias("n_nodes"), F.min("sub_entity").alias("first_node"), F.min("property").alias("least"), F.max(F.concat("property", F.lit(" "), "value")).alias("most"), F.sum(F.char_length("value")).alias("n_chars")),
-    over_graph("SELECT analysis, entity, entity_type, count(*) AS n, count(DISTINCT sub_entity) AS n_nodes, min(sub_entity) AS first_node, min(property) AS least, max(property || ' ' || value) AS most, CAST(sum(length(value)) AS BIGINT) AS n_chars FROM r GROUP BY 1, 2, 3", more=_RECORD),
+        F.count(F.lit(1)).alias("n"), F.countDistinct("sub_entity").alias("n_nodes"), F.min("property").alias("least"), F.sum(F.char_length("value")).alias("n_chars")),
+    over_graph("SELECT analysis, entity, entity_type, count(*) AS n, count(DISTINCT sub_entity) AS n_nodes, min(property) AS least, CAST(sum(length(value)) AS BIGINT) AS n_chars FROM r GROUP BY 1, 2, 3", more=_RECORD),
 )
 _FIELD_VALUES = ", ".join(f"('{e}', '{P(p)}', '{f}')" for e, p, f in records.FIELDS)
 add(
@@ -376,3 +377,58 @@ SUGGESTED = {
 _SUGGEST = "SELECT field, value, n, place FROM (SELECT field, value, n, row_number() OVER (PARTITION BY field ORDER BY NOT starts_with(lower(value), '{0}'), lower(value), value) AS place FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {c} AS value, count(*) AS n FROM sheet WHERE contains(lower({c}), '{{0}}') AND trim({c}) NOT IN ('', 'NA', 'N.A.', 'N/A') GROUP BY 2" for f, c in SUGGESTED.items()) + ")) WHERE place <= 20"
 for _name, _text in (("suggest_index_ati", "ATI"), ("suggest_index_mo", "mo"), ("suggest_index_measure", "ale m1")):
     add(_name, lambda s, d, x=_text: suggestions.Index.built(sheet.sheet(s, d), SUGGESTED).search(x), over_graph(_SUGGEST.format(_text.lower()), "note"))
+
+# Values, lines and facets of the sheet.
+_TYPED_OF = ("sampleSize", "degreBeta", "degreR", "prefLabel", "date")
+
+
+def _typed_values(s: SparkSession, d: str) -> DataFrame:
+    """By predicate and datatype: how many values parse as what, and the sums of the numbers."""
+    v = graph(s, d, *_TYPED_OF).withColumn("v", text.typed_value(F.col("o"), F.col("o_datatype")))
+    return v.groupBy("p", "o_datatype").agg(F.count("v.number").alias("n_numbers"), F.count("v.whole").alias("n_whole"), F.count("v.text").alias("n_texts"), F.round(F.coalesce(F.sum("v.number"), F.lit(0.0)), 3).alias("total"), F.coalesce(F.sum("v.whole"), F.lit(0)).alias("total_whole"))
+
+
+add(
+    "fn_typed_by_datatype",
+    _typed_values,
+    over_graph(
+        "SELECT p, o_datatype, count(x) AS n_numbers, count(w) AS n_whole, count(t) AS n_texts, round(coalesce(sum(x), 0.0), 3) AS total, CAST(coalesce(sum(w), 0) AS BIGINT) AS total_whole FROM (SELECT p, o_datatype, CASE WHEN o_datatype LIKE '%decimal' THEN try_cast(replace(o, ',', '.') AS DOUBLE) END AS x, "
+        "CASE WHEN o_datatype LIKE '%integer' THEN try_cast(o AS BIGINT) END AS w, CASE WHEN o_datatype IS NULL THEN o END AS t FROM g) GROUP BY 1, 2", *_TYPED_OF),
+)
+add(
+    "fn_statistics_line",
+    lambda s, d: sheet.sheet(s, d).select("analysis_id", text.statistics_line([F.col("analysis_type"), F.col("complexity"), F.col("mediator")], F.col("degree_r_raw"), F.col("p_sign"), F.col("degree_p_raw"), F.col("degree_beta_raw")).alias("line")),
+    over_graph("SELECT analysis_id, concat_ws(' | ', nullif(concat_ws(' | ', nullif(trim(analysis_type), ''), complexity, nullif(mediator, 'N.A.')), ''), concat_ws(', ', 'r=' || degree_r_raw, 'p' || coalesce(p_sign, '=') || degree_p_raw, 'β=' || degree_beta_raw)) AS line FROM sheet", "note"),
+)
+add(
+    "fn_filters_text_ages",
+    lambda s, d: sheet.sheet(s, d).select(text.filters_text(F.col("gender"), F.col("sport_name"), F.col("age_min_raw"), F.col("age_max_raw")).alias("filters")).groupBy("filters").agg(F.count(F.lit(1)).alias("n")),
+    over_graph("SELECT concat_ws(', ', 'Genre: ' || nullif(gender, 'N.A.'), 'Sport: ' || sport_name, CASE WHEN age_min_raw IS NOT NULL OR age_max_raw IS NOT NULL THEN 'Âge: ' || coalesce(age_min_raw, '?') || '-' || coalesce(age_max_raw, '?') END) AS filters, count(*) AS n FROM sheet GROUP BY 1", "note"),
+)
+add("fn_slug_kept", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.slug(F.col("url"), "_-").alias("slug")), "SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') AS slug FROM pages")
+OPEN = {"title": "title", "author": "authors", "independent variable": "vi_label", "dependent variable": "vd_label", "sport": "sport_name"}
+
+
+def _facet_pages(s: SparkSession, d: str) -> DataFrame:
+    """The values of facets without a closed vocabulary, in pages."""
+    return _pages(pages.paged(suggestions.values_of(sheet.sheet(s, d), OPEN), ("field",), "value"), "field")
+
+
+add("facet_value_pages", _facet_pages, over_graph(f"SELECT field, {_PAGES} FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS field, {c} AS m FROM sheet WHERE trim({c}) NOT IN ('', 'NA', 'N.A.', 'N/A')" for k, c in OPEN.items()) + ") GROUP BY 1", "note"))
+DIMENSIONS = {"experience": "exp_unit", "frequency": "freq_unit", "level": "sport_level", "tool": "vd_measure", "gender": "gender", "practice": "practice_type"}
+
+
+def _by_dimension(s: SparkSession, d: str) -> DataFrame:
+    """For each direction and each value of each dimension: relations, and the different factors among them."""
+    cells = F.array(*[F.struct(F.lit(k).alias("dimension"), present(F.col(c)).alias("value")) for k, c in DIMENSIONS.items()])
+    rows = sheet.sheet(s, d).select("relation_direction", "vi", F.explode(cells).alias("x")).select("relation_direction", "vi", "x.*").where("value IS NOT NULL")
+    # Counted by factor first: one shuffle of sums gives both numbers.
+    per = rows.groupBy("relation_direction", "dimension", "value", "vi").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("relation_direction", "dimension", "value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_vi"))
+
+
+add(
+    "cq_by_direction_and_dimension",
+    _by_dimension,
+    over_graph("SELECT relation_direction, dimension, value, count(*) AS n, count(DISTINCT vi) AS n_vi FROM (" + " UNION ALL ".join(f"SELECT relation_direction, vi, '{k}' AS dimension, {c} AS value FROM sheet WHERE trim({c}) NOT IN ('', 'NA', 'N.A.', 'N/A')" for k, c in DIMENSIONS.items()) + ") GROUP BY 1, 2, 3", "note"),
+)

@@ -102,6 +102,29 @@ def strength_label(r: Column, p: Column) -> Column:
     return F.when(out == "", "Force inconnue").otherwise(out)
 
 
+def statistics_line(kinds: list[Column], r: Column, sign: Column, p: Column, beta: Column) -> Column:
+    """The kinds that are present joined by |, then r=, p with its sign (= if it has none) and β=, as far as present, joined by commas."""
+    signed = F.concat(F.lit("p"), F.coalesce(present(sign), F.lit("=")), present(p))
+    numbers = F.concat_ws(", ", F.concat(F.lit("r="), present(r)), signed, F.concat(F.lit("β="), present(beta)))
+    return F.concat_ws(" | ", F.nullif(F.concat_ws(" | ", *[present(k) for k in kinds]), F.lit("")), F.nullif(numbers, F.lit("")))
+
+
+def filters_text(gender: Column, sport: Column, low: Column, high: Column) -> Column:
+    """The filters in force: gender, sport and ages, as far as given; an age bound that isn't is a question mark."""
+    ages = F.concat(F.coalesce(low.cast("string"), F.lit("?")), F.lit("-"), F.coalesce(high.cast("string"), F.lit("?")))
+    return F.concat_ws(", ", F.concat(F.lit("Genre: "), present(gender)), F.concat(F.lit("Sport: "), present(sport)), F.when(low.isNotNull() | high.isNotNull(), F.concat(F.lit("Âge: "), ages)))
+
+
+def typed_value(value: Column, datatype: Column) -> Column:
+    """A literal as its datatype says: number (decimal, double, float), whole (integer, int), truth (boolean), else text; what doesn't parse stays null."""
+    has = lambda *words: F.coalesce(datatype.rlike("(?i)" + "|".join(words)), F.lit(False))
+    number, whole, truth = has("decimal", "double", "float"), has("int"), has("boolean")
+    point = F.replace(value, F.lit(","), F.lit("."))
+    return F.struct(
+        F.when(number, point.try_cast("double")).alias("number"), F.when(~number & whole, value.try_cast("long")).alias("whole"),
+        F.when(~number & ~whole & truth, value == "true").alias("truth"), F.when(~(number | whole | truth), value).alias("text"))
+
+
 def reference_text(author: Column, year: Column, title: Column, journal: Column, most: int = 50) -> Column:
     """Author (year). Title. Journal. A longer author list is cut and marked."""
     short = F.when(F.char_length(author) > most, F.concat(F.substring(author, 1, most - 3), F.lit("..."))).otherwise(author)

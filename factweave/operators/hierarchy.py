@@ -6,36 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import text
-from factweave.sources import binding, shared
+from factweave.sources import binding
+from factweave.sources.shared import kept
 
-_closures: dict[tuple[str, str], DataFrame] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    shared.folder(df.sparkSession)
-    return df.checkpoint()
+_closures: dict[tuple, DataFrame] = {}
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """descendant, ancestor, depth (the least): one or more steps up. Each round joins the pairs found last with the edges and drops known ones, so cycles end."""
-    up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    known = cut(edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    last, depth = known, 1
+    """descendant, ancestor, depth (the least): one or more steps up.
+
+    Each round joins the pairs found so far with themselves, so paths double in length and the rounds are the logarithm of the depth; a round is one table.
+    A round that neither finds a pair nor shortens a path is the last, so cycles end.
+    """
+    known = kept(edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "closure")
+    size = None
     while True:
-        depth += 1
-        found = last.join(up, "ancestor").select("descendant", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        last = cut(found.join(known, ["descendant", "ancestor"], "left_anti"))
-        if last.isEmpty():
+        after = tuple(known.agg(F.count(F.lit(1)), F.sum("depth")).first())
+        if after == size:
             return known
-        known = known.unionByName(last)
+        size = after
+        up = known.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        found = known.join(up, "ancestor").select("descendant", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        known = kept(known.unionByName(found).groupBy("descendant", "ancestor").agg(F.min("depth").alias("depth")), "closure")
 
 
 def closure_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closure of a folder's graph, made once for each Spark application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The closure of a folder's graph, made once for each Spark application and state of its edges: their number and a sum of their digests tell whether they changed."""
+    edges = binding.edges(spark, sf_dir)
+    state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first())
+    key = (spark.sparkContext.applicationId, *state)
     if key not in _closures:
-        _closures[key] = closure(binding.edges(spark, sf_dir))
+        _closures[key] = closure(edges)
     return _closures[key]
 
 

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from factweave.sources.binding import TYPE
 
 
-def inserted(triples: DataFrame, new: DataFrame) -> DataFrame:
-    return triples.unionByName(new).distinct()
-
-
-def replaced(triples: DataFrame, new: DataFrame, cls: str) -> DataFrame:
-    """new's (s, p) lose their old values, where the subject is of the class; rows of new for other subjects are left out."""
-    members = triples.where((F.col("p") == TYPE) & (F.col("o") == cls)).select("s")
-    new = new.join(members, "s", "left_semi")
-    return triples.join(new.select("s", "p").distinct(), ["s", "p"], "left_anti").unionByName(new).distinct()
+def inserted(triples: DataFrame, new: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """triples (a set) with those of new that aren't there; known: a part of triples that holds all of them that new could repeat, so that the rest isn't shuffled."""
+    fresh = new.distinct().join(triples if known is None else known, ["s", "p", "o"], "left_anti")
+    return triples.unionByName(fresh.select(*triples.columns))
+
+
+def replaced(triples: DataFrame, new: DataFrame, cls: str, types: DataFrame | None = None) -> DataFrame:
+    """new's (s, p) lose their old values, where the subject is of the class; rows of new for other subjects are left out. types: the part of triples that gives the classes."""
+    members = (triples if types is None else types).where((F.col("p") == TYPE) & (F.col("o") == cls)).select("s")
+    new = new.join(members, "s", "left_semi").distinct()
+    # What stays has no (s, p) of new, so the union is a set.
+    return triples.join(new.select("s", "p").distinct(), ["s", "p"], "left_anti").unionByName(new.select(*triples.columns))
 
 
 def cascade_deleted(triples: DataFrame, ids: DataFrame) -> DataFrame:

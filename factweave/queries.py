@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factweave import entity_queries
 from factweave.functions import numbers, text
-from factweave.operators import hierarchy, network, questions, shapes, statistics, updates
+from factweave.operators import hierarchy, network, questions, reports, shapes, statistics, updates
 from factweave.operators.search import AGE, RESULT, Filters, Statistic, contains_any, search, with_categories
 from factweave.plans import patterns
 from factweave.plans.oracle import LABEL, over
@@ -34,8 +34,10 @@ ONT, DATA = binding.ONTOLOGY, binding.DATA
 ANALYSIS = ONT + "Analysis"
 
 
-def T(spark: SparkSession, d: str) -> DataFrame:
-    return binding.triples(A(spark, d))
+def T(spark: SparkSession, d: str, *properties: str) -> DataFrame:
+    """The triples of analyses; with properties (type: the class) only theirs."""
+    names = tuple(p for p in properties if p != "type")
+    return binding.triples(A(spark, d), names or binding.PROPERTIES if not properties else names, not properties or "type" in properties)
 
 
 def AC(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +48,12 @@ def doc(spark: SparkSession, d: str, name: str) -> DataFrame:
     return binding.table(spark, d, name)
 
 
+def _by_ancestor(spark: SparkSession, d: str, concept: str) -> DataFrame:
+    """ancestor, n: the analyses below each concept. Counted by concept first, so no analysis is copied for each of its ancestors; an analysis has one concept, so nothing counts twice."""
+    counts = A(spark, d).groupBy(F.col(concept).alias("descendant")).agg(F.count(F.lit(1)).alias("k"))
+    return counts.join(C(spark, d), "descendant").groupBy("ancestor").agg(F.sum("k").alias("n"))
+
+
 # Search: the filters, and the same condition in SQL.
 def _ranges(mean: str, lo: str, hi: str, bounds: list[tuple[float, float]], overlap: bool) -> str:
     one = lambda a, b: f"{mean} BETWEEN {a} AND {b}" + (f" OR ({hi} >= {a} AND {lo} <= {b})" if overlap else "")
@@ -131,9 +139,9 @@ add("filter_is_analysis_id", lambda s, d: A(s, d).where(text.is_analysis_id(F.co
 add("filter_nonempty_stats", lambda s, d: network.record(A(s, d)).where(text.present(F.col("value")).isNotNull()).groupBy("property").agg(F.count(F.lit(1)).alias("n")), "SELECT property, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS property, CAST({c} AS STRING) AS value FROM a" for cs in network.ENTITIES.values() for c in cs) + ") WHERE trim(value) NOT IN ('', 'NA', 'N.A.', 'N/A') GROUP BY 1", "a")
 
 # Joins.
-add("join_bgp_star", lambda s, d: patterns.match(T(s, d), ("?analysis", binding.TYPE, ANALYSIS), ("?analysis", ONT + "vi_iri", "?vi"), ("?analysis", ONT + "vd_iri", "?vd")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS analysis, vi_iri AS vi, vd_iri AS vd FROM a", "a")
-add("join_optional", lambda s, d: patterns.optional(patterns.match(T(s, d), ("?analysis", binding.TYPE, ANALYSIS)), T(s, d), ("?analysis", ONT + "moderator", "?moderator")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS analysis, moderator FROM a", "a")
-add("join_optional_group", lambda s, d: patterns.optional(patterns.match(T(s, d), ("?analysis", binding.TYPE, ANALYSIS)), T(s, d), ("?analysis", ONT + "mediator", "?mediator"), ("?analysis", ONT + "moderator", "?moderator")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS analysis, CASE WHEN moderator IS NOT NULL THEN mediator END AS mediator, CASE WHEN mediator IS NOT NULL THEN moderator END AS moderator FROM a", "a")
+add("join_bgp_star", lambda s, d: patterns.match(T(s, d, "type", "vi_iri", "vd_iri"), ("?analysis", binding.TYPE, ANALYSIS), ("?analysis", ONT + "vi_iri", "?vi"), ("?analysis", ONT + "vd_iri", "?vd")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS analysis, vi_iri AS vi, vd_iri AS vd FROM a", "a")
+add("join_optional", lambda s, d: patterns.optional(patterns.match(T(s, d, "type", "moderator"), ("?analysis", binding.TYPE, ANALYSIS)), T(s, d, "type", "moderator"), ("?analysis", ONT + "moderator", "?moderator")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS analysis, moderator FROM a", "a")
+add("join_optional_group", lambda s, d: patterns.optional(patterns.match(T(s, d, "type", "mediator", "moderator"), ("?analysis", binding.TYPE, ANALYSIS)), T(s, d, "type", "mediator", "moderator"), ("?analysis", ONT + "mediator", "?mediator"), ("?analysis", ONT + "moderator", "?moderator")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS analysis, CASE WHEN moderator IS NOT NULL THEN mediator END AS mediator, CASE WHEN mediator IS NOT NULL THEN moderator END AS moderator FROM a", "a")
 add("join_left_preagg", lambda s, d: AC(s, d).select("analysis_id", "category_vi", "category_vd"), "SELECT analysis_id, category_vi, category_vd FROM c", "c")
 add("join_label_key", lambda s, d: A(s, d).select("vd_label").distinct().join(hierarchy.min_category(E(s, d)), F.col("vd_label") == F.col("label")).select("vd_label", "category"), "SELECT DISTINCT vd_label, category FROM a JOIN mincat ON vd_label = label", "a", "mincat")
 add("join_anti_roots", lambda s, d: doc(s, d, "orders").join(doc(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -141,25 +149,27 @@ add("join_anti_filtered", lambda s, d: A(s, d).where(F.coalesce(F.col("age_hi")
 _AGES = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in AGE.items())
 add("join_range_overlap", lambda s, d: A(s, d).join(F.broadcast(s.createDataFrame([(k, float(a), float(b)) for k, (a, b) in AGE.items()], "category string, lo double, hi double")), (F.col("age_hi") >= F.col("lo")) & (F.col("age_lo") <= F.col("hi"))).groupBy("category").agg(F.count(F.lit(1)).alias("n")), f"SELECT category, count(*) AS n FROM a JOIN (VALUES {_AGES}) v(category, lo, hi) ON age_hi >= lo AND age_lo <= hi GROUP BY 1", "a")
 add("join_reverse_link", lambda s, d: A(s, d).select("article_id", "analysis_id").join(doc(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("article_id"), "o_orderstatus"), "article_id").select("article_id", "analysis_id", "o_orderstatus"), "SELECT article_id, analysis_id, o_orderstatus FROM a JOIN orders ON CAST(o_orderkey AS STRING) = article_id", "a")
-add("join_reverse_any", lambda s, d: patterns.match(T(s, d), ("?x", ONT + "vd_iri", "urn:kg/vocab/Supplier#000000001"), ("?x", "?property", "?value")), "SELECT x.s AS x, t.p AS property, t.o AS value FROM t JOIN (SELECT s FROM t WHERE p = 'urn:kg/ontology/vd_iri' AND o = 'urn:kg/vocab/Supplier#000000001') x USING (s)", "t")
+add("join_reverse_any", lambda s, d: patterns.match(T(s, d), ("?x", ONT + "vd_iri", "urn:kg/vocab/Supplier#000000001"), ("?x", "?property", "?value")), "SELECT s AS x, p AS property, o AS value FROM t", "t")
+# Only the analyses that point to it make triples.
+ORACLES["join_reverse_any"] = ORACLES["join_reverse_any"].replace(" FROM a1)", " FROM a1 WHERE vd_iri = 'urn:kg/vocab/Supplier#000000001')", 1)
 add("join_flexible_id", lambda s, d: A(s, d).select("analysis_id", text.flexible_id(F.concat(F.lit(" Analysis_"), F.col("article_id"), F.lit(",0"))).alias("key")).join(doc(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderkey"), "key").select("analysis_id", "o_orderkey"), "SELECT analysis_id, o_orderkey FROM a JOIN orders ON CAST(o_orderkey AS STRING) = article_id", "a")
 
 # Graph patterns.
-add("pattern_bgp", lambda s, d: patterns.match(T(s, d), ("?a", ONT + "gender", "Male"), ("?a", ONT + "practice_type", "Team sport")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a FROM a WHERE gender = 'Male' AND practice_type = 'Team sport'", "a")
-add("pattern_optional", lambda s, d: patterns.optional(patterns.match(T(s, d), ("?a", ONT + "gender", "?g")), T(s, d), ("?a", ONT + "mediator", "?m")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a, gender AS g, mediator AS m FROM a", "a")
-add("pattern_union", lambda s, d: patterns.either(patterns.match(T(s, d), ("?a", ONT + "mediator", "?m")), patterns.match(T(s, d), ("?a", ONT + "moderator", "?o"))), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a, mediator AS m, CAST(NULL AS STRING) AS o FROM a WHERE mediator IS NOT NULL UNION ALL SELECT 'urn:kg/data/Analysis_' || analysis_id, NULL, moderator FROM a WHERE moderator IS NOT NULL", "a")
-add("pattern_not_exists", lambda s, d: patterns.without(patterns.match(T(s, d), ("?a", binding.TYPE, ANALYSIS)), T(s, d), ("?a", ONT + "mediator", "?m")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a FROM a WHERE mediator IS NULL", "a")
-add("pattern_path_plus", lambda s, d: patterns.match(T(s, d), ("?a", ONT + "vd_iri", "?vd")).join(hierarchy.descendants_of(C(s, d), "AFRICA").withColumnRenamed("descendant", "vd"), "vd", "left_semi"), f"SELECT 'urn:kg/data/Analysis_' || analysis_id AS a, vd_iri AS vd FROM a WHERE vd_iri IN (SELECT descendant FROM closure WHERE {LABEL.format('ancestor')} = 'AFRICA')", "a", "closure")
-add("pattern_group_by", lambda s, d: patterns.match(T(s, d), ("?a", ONT + "country", "?country")).groupBy("country").agg(F.count(F.lit(1)).alias("n")), "SELECT country, count(*) AS n FROM a GROUP BY 1", "a")
-add("pattern_subselect", lambda s, d: patterns.match(T(s, d), ("?a", ONT + "vi_iri", "?vi")).join(E(s, d).groupBy(F.col("child").alias("vi")).agg(F.min("parent").alias("up")), "vi", "left"), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a, vi_iri AS vi, up FROM a LEFT JOIN (SELECT child, min(parent) AS up FROM kg_edges GROUP BY 1) ON child = vi_iri", "a", "kg_edges")
-add("scan_class_instances", lambda s, d: patterns.match(T(s, d), ("?analysis", binding.TYPE, ANALYSIS)), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS analysis FROM a", "a")
+add("pattern_bgp", lambda s, d: patterns.match(T(s, d, "gender", "practice_type"), ("?a", ONT + "gender", "Male"), ("?a", ONT + "practice_type", "Team sport")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a FROM a WHERE gender = 'Male' AND practice_type = 'Team sport'", "a")
+add("pattern_optional", lambda s, d: patterns.optional(patterns.match(T(s, d, "gender", "mediator"), ("?a", ONT + "gender", "?g")), T(s, d, "gender", "mediator"), ("?a", ONT + "mediator", "?m")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a, gender AS g, mediator AS m FROM a", "a")
+add("pattern_union", lambda s, d: patterns.either(patterns.match(T(s, d, "mediator", "moderator"), ("?a", ONT + "mediator", "?m")), patterns.match(T(s, d, "mediator", "moderator"), ("?a", ONT + "moderator", "?o"))), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a, mediator AS m, CAST(NULL AS STRING) AS o FROM a WHERE mediator IS NOT NULL UNION ALL SELECT 'urn:kg/data/Analysis_' || analysis_id, NULL, moderator FROM a WHERE moderator IS NOT NULL", "a")
+add("pattern_not_exists", lambda s, d: patterns.without(patterns.match(T(s, d, "type", "mediator"), ("?a", binding.TYPE, ANALYSIS)), T(s, d, "type", "mediator"), ("?a", ONT + "mediator", "?m")), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a FROM a WHERE mediator IS NULL", "a")
+add("pattern_path_plus", lambda s, d: patterns.match(T(s, d, "vd_iri"), ("?a", ONT + "vd_iri", "?vd")).join(hierarchy.descendants_of(C(s, d), "AFRICA").withColumnRenamed("descendant", "vd"), "vd", "left_semi"), f"SELECT 'urn:kg/data/Analysis_' || analysis_id AS a, vd_iri AS vd FROM a WHERE vd_iri IN (SELECT descendant FROM closure WHERE {LABEL.format('ancestor')} = 'AFRICA')", "a", "closure")
+add("pattern_group_by", lambda s, d: patterns.match(T(s, d, "country"), ("?a", ONT + "country", "?country")).groupBy("country").agg(F.count(F.lit(1)).alias("n")), "SELECT country, count(*) AS n FROM a GROUP BY 1", "a")
+add("pattern_subselect", lambda s, d: patterns.match(T(s, d, "vi_iri"), ("?a", ONT + "vi_iri", "?vi")).join(E(s, d).groupBy(F.col("child").alias("vi")).agg(F.min("parent").alias("up")), "vi", "left"), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS a, vi_iri AS vi, up FROM a LEFT JOIN (SELECT child, min(parent) AS up FROM kg_edges GROUP BY 1) ON child = vi_iri", "a", "kg_edges")
+add("scan_class_instances", lambda s, d: patterns.match(T(s, d, "type"), ("?analysis", binding.TYPE, ANALYSIS)), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS analysis FROM a", "a")
 add("scan_total_triples", lambda s, d: T(s, d).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM t", "t")
 add("load_guard_count", lambda s, d: T(s, d).limit(1001).agg((F.count(F.lit(1)) > 1000).alias("loaded")), "SELECT count(*) > 1000 AS loaded FROM t", "t")
 
 # Aggregates.
 R = lambda e, n: F.round(e, 6).alias(n)
 add("agg_count_star", lambda s, d: A(s, d).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM a", "a")
-add("agg_count_distinct_class", lambda s, d: A(s, d).agg(*[F.countDistinct(c).alias(f"n_{c}") for c in ("article_id", "vi", "vd", "sport_name", "country")]), "SELECT " + ", ".join(f"count(DISTINCT {c}) AS n_{c}" for c in ("article_id", "vi", "vd", "sport_name", "country")) + " FROM a", "a")
+add("agg_count_distinct_class", lambda s, d: reports.distincts(A(s, d), {f"n_{c}": F.col(c) for c in ("article_id", "vi", "vd", "sport_name", "country")}), "SELECT " + ", ".join(f"count(DISTINCT {c}) AS n_{c}" for c in ("article_id", "vi", "vd", "sport_name", "country")) + " FROM a", "a")
 for _n, _c in {"agg_by_gender": "gender", "agg_by_study_type": "study_type", "agg_by_relation": "relation_direction", "agg_vd_types": "vd", "agg_vi_types": "vi"}.items():
     add(_n, lambda s, d, c=_c: statistics.counts_by(A(s, d), c), f"SELECT {_c}, count(*) AS n FROM a WHERE {_c} IS NOT NULL GROUP BY 1", "a")
 for _n, _c, _k in (("agg_top_countries", "country", 10), ("agg_top_sports", "sport_name", 15), ("topk_limit", "vi", 20)):
@@ -173,12 +183,12 @@ add("agg_strong_correlations", lambda s, d: A(s, d).where(F.abs("degree_r") >= 0
 add("agg_significant", lambda s, d: A(s, d).where("degree_p < 0.05").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM a WHERE degree_p < 0.05", "a")
 add("agg_ns_synonyms", lambda s, d: A(s, d).where(F.col("relation_direction").isin("NS", "N.S.")).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM a WHERE relation_direction IN ('NS', 'N.S.')", "a")
 add("agg_categorisation_rate", lambda s, d: A(s, d).agg(statistics.rate(F.count(F.when(F.col("mediator") != "N.A.", 1)), F.count("mediator")).alias("percent")), "SELECT CAST(round_even(count(*) FILTER (mediator <> 'N.A.') * 100.0 / count(mediator), 0) AS BIGINT) AS percent FROM a", "a")
-add("agg_by_top_category", lambda s, d: A(s, d).select("analysis_id", F.col("vd_iri").alias("descendant")).join(C(s, d), "descendant").join(hierarchy.roots(E(s, d)), F.col("ancestor") == F.col("root")).groupBy("root").agg(F.countDistinct("analysis_id").alias("n")), "SELECT ancestor AS root, count(DISTINCT analysis_id) AS n FROM a JOIN closure ON vd_iri = descendant WHERE ancestor NOT IN (SELECT child FROM kg_edges) GROUP BY 1", "a", "closure")
+add("agg_by_top_category", lambda s, d: _by_ancestor(s, d, "vd_iri").join(hierarchy.roots(E(s, d)), F.col("ancestor") == F.col("root")).select("root", "n"), "SELECT ancestor AS root, count(DISTINCT analysis_id) AS n FROM a JOIN closure ON vd_iri = descendant WHERE ancestor NOT IN (SELECT child FROM kg_edges) GROUP BY 1", "a", "closure")
 add("agg_topn_with_others", lambda s, d: statistics.top_with_others(statistics.counts_by(A(s, d), "sport_name"), "sport_name", 5), "WITH k AS (SELECT sport_name, count(*) AS n FROM a2 GROUP BY 1) SELECT * FROM k")
 ORACLES["agg_topn_with_others"] = over("SELECT sport_name, n FROM (SELECT sport_name, count(*) AS n FROM a GROUP BY 1 ORDER BY n DESC, sport_name LIMIT 5) UNION ALL SELECT '… others', greatest(count(DISTINCT sport_name) - 5, 0) FROM a", "a")
 add("agg_numeric_profile", lambda s, d: statistics.numeric_profile(A(s, d), F.col("freq_mean")), "SELECT count(freq_mean) AS n, round(avg(freq_mean), 6) AS mean, min(freq_mean) AS least, max(freq_mean) AS most FROM a", "a")
 add("agg_sample_buckets", lambda s, d: statistics.buckets(A(s, d), F.col("sample_size"), (50, 100, 500, 1000)), "SELECT CASE WHEN sample_size < 50 THEN '<50' WHEN sample_size < 100 THEN '50-100' WHEN sample_size < 500 THEN '100-500' WHEN sample_size < 1000 THEN '500-1000' ELSE '>=1000' END AS bucket, count(*) AS n FROM a GROUP BY 1", "a")
-add("agg_summary_report", lambda s, d: A(s, d).agg(F.count(F.lit(1)).alias("analyses"), F.countDistinct("article_id").alias("articles"), F.countDistinct("vi").alias("factors"), F.countDistinct("vd").alias("outcomes"), F.count(F.when(F.col("relation_direction") == "+", 1)).alias("risk"), F.count(F.when(F.col("relation_direction") == "-", 1)).alias("protective"), R(F.avg("age_mean"), "mean_age"), F.sum("sample_size").alias("participants")), "SELECT count(*) AS analyses, count(DISTINCT article_id) AS articles, count(DISTINCT vi) AS factors, count(DISTINCT vd) AS outcomes, count(*) FILTER (relation_direction = '+') AS risk, count(*) FILTER (relation_direction = '-') AS protective, round(avg(age_mean), 6) AS mean_age, CAST(sum(sample_size) AS BIGINT) AS participants FROM a", "a")
+add("agg_summary_report", lambda s, d: reports.summary(A(s, d)).select("analyses", "articles", "factors", "outcomes", "risk", "protective", "mean_age", "participants"), "SELECT count(*) AS analyses, count(DISTINCT article_id) AS articles, count(DISTINCT vi) AS factors, count(DISTINCT vd) AS outcomes, count(*) FILTER (relation_direction = '+') AS risk, count(*) FILTER (relation_direction = '-') AS protective, round(avg(age_mean), 6) AS mean_age, CAST(sum(sample_size) AS BIGINT) AS participants FROM a", "a")
 _CMP = ("mediator", "moderator", "freq_unit", "exp_unit", "age_mean", "age_lo")
 add("agg_completeness", lambda s, d: statistics.completeness(A(s, d), _CMP), " UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS n_present, round(count({c}) * 100.0 / count(*), 1) AS percent FROM a" for c in _CMP), "a")
 add("agg_result_statistics", lambda s, d: A(s, d).agg(F.countDistinct("country").alias("countries"), F.countDistinct("sport_name").alias("sports"), F.min("article_year").alias("first_year"), F.max("article_year").alias("last_year"), F.floor(F.avg("article_year") + 0.5).alias("mean_year")), "SELECT count(DISTINCT country) AS countries, count(DISTINCT sport_name) AS sports, min(article_year) AS first_year, max(article_year) AS last_year, CAST(floor(avg(article_year) + 0.5) AS BIGINT) AS mean_year FROM a", "a")
@@ -191,9 +201,9 @@ add("events_profile", lambda s, d: doc(s, d, "events").groupBy("event_type").agg
 
 # Facets.
 for _n, _c in {"facet_vi": "vi_label", "facet_vd": "vd_label", "facet_countries": "country", "facet_sports": "sport_name", "facet_sport_categories": "practice_type"}.items():
-    add(_n, lambda s, d, c=_c: A(s, d).groupBy(c).agg(F.countDistinct("analysis_id").alias("n")), f"SELECT {_c}, count(DISTINCT analysis_id) AS n FROM a GROUP BY 1", "a")
+    add(_n, lambda s, d, c=_c: A(s, d).groupBy(c).agg(F.count(F.lit(1)).alias("n")), f"SELECT {_c}, count(DISTINCT analysis_id) AS n FROM a GROUP BY 1", "a")
 for _n, _c in {"facet_categories_vi": "vi_iri", "facet_categories_vd": "vd_iri"}.items():
-    add(_n, lambda s, d, c=_c: A(s, d).select("analysis_id", F.col(c).alias("descendant")).join(C(s, d), "descendant").groupBy("ancestor").agg(F.countDistinct("analysis_id").alias("n")), f"SELECT ancestor, count(DISTINCT analysis_id) AS n FROM a JOIN closure ON {_c} = descendant GROUP BY 1", "a", "closure")
+    add(_n, lambda s, d, c=_c: _by_ancestor(s, d, c), f"SELECT ancestor, count(DISTINCT analysis_id) AS n FROM a JOIN closure ON {_c} = descendant GROUP BY 1", "a", "closure")
 #: Facets with a closed vocabulary: their values fit in one list.
 CLOSED = ("gender", "country", "practice_type")
 
@@ -214,7 +224,7 @@ add(
     + ") GROUP BY 1",
     "a",
 )
-add("facet_vi_filtered", lambda s, d: A(s, d).join(hierarchy.descendants_of(C(s, d), "Size factor").withColumnRenamed("descendant", "vi_iri"), "vi_iri", "left_semi").groupBy("vi_label").agg(F.countDistinct("analysis_id").alias("n")), f"SELECT vi_label, count(DISTINCT analysis_id) AS n FROM a WHERE vi_iri IN (SELECT descendant FROM closure WHERE {LABEL.format('ancestor')} = 'Size factor') GROUP BY 1", "a", "closure")
+add("facet_vi_filtered", lambda s, d: A(s, d).join(hierarchy.descendants_of(C(s, d), "Size factor").withColumnRenamed("descendant", "vi_iri"), "vi_iri", "left_semi").groupBy("vi_label").agg(F.count(F.lit(1)).alias("n")), f"SELECT vi_label, count(DISTINCT analysis_id) AS n FROM a WHERE vi_iri IN (SELECT descendant FROM closure WHERE {LABEL.format('ancestor')} = 'Size factor') GROUP BY 1", "a", "closure")
 
 # Order, distinct, union, suggestions.
 add("sort_multi_key", lambda s, d: A(s, d).select("vd", "vi", "analysis_id").orderBy("vd", F.desc("vi"), "analysis_id"), "SELECT vd, vi, analysis_id FROM a ORDER BY vd, vi DESC, analysis_id", "a")
@@ -329,7 +339,7 @@ add("drill_wide_record", lambda s, d: network.wide_record(A(s, d)), "SELECT anal
 add("etl_unique_ids", lambda s, d: files.with_unique_ids(A(s, d), "raw_id", "l_partkey", "l_suppkey", "occurrence").select("raw_id", "unique_id"), "SELECT raw_id, analysis_id AS unique_id FROM a", "a")
 add("etl_drop_blank_rows", lambda s, d: files.without_blank_rows(A(s, d).select("mediator", "moderator")).groupBy("mediator", "moderator").agg(F.count(F.lit(1)).alias("n")), "SELECT mediator, moderator, count(*) AS n FROM a WHERE mediator IS NOT NULL OR moderator IS NOT NULL GROUP BY ALL", "a")
 add("etl_nonempty_columns", lambda s, d: files.without_empty_columns(A(s, d).select("analysis_id", F.lit(None).cast("string").alias("nothing"), F.lit(" ").alias("blank"), "gender")), "SELECT analysis_id, gender FROM a", "a")
-add("etl_rml_subject_map", lambda s, d: T(s, d).where(F.col("p") == ONT + "vi_iri").select("s", "o"), "SELECT s, o FROM t WHERE p = 'urn:kg/ontology/vi_iri'", "t")
+add("etl_rml_subject_map", lambda s, d: T(s, d, "vi_iri").where(F.col("p") == ONT + "vi_iri").select("s", "o"), "SELECT s, o FROM t WHERE p = 'urn:kg/ontology/vi_iri'", "t")
 add("etl_rml_triples_count_by_predicate", lambda s, d: T(s, d).groupBy("p").agg(F.count(F.lit(1)).alias("n")), "SELECT p, count(*) AS n FROM t GROUP BY 1", "t")
 add("src_csv_drop_na_id", lambda s, d: A(s, d).where(text.present(F.col("mediator")).isNotNull()).select("analysis_id", "mediator"), "SELECT analysis_id, mediator FROM a WHERE trim(mediator) NOT IN ('', 'NA', 'N.A.')", "a")
 add("src_header_rename", lambda s, d: files.renamed(A(s, d).select(F.col("analysis_id").alias("Analysis ID"), F.col("sport_name").alias("Sport name"))), 'SELECT analysis_id AS "Analysis_ID", sport_name AS "Sport_name" FROM a', "a")
@@ -403,9 +413,11 @@ def _new(t: DataFrame) -> DataFrame:
     return t.where((F.col("p") == ONT + "gender") & (F.col("o") == "N.A.")).select("s", "p", F.lit("Male").alias("o"))
 
 
-add("upd_insert_entities", lambda s, d: updates.inserted(T(s, d), _new(T(s, d))), f"SELECT s, p, o FROM t UNION {_NEW}", "t")
-add("upd_replace_properties", lambda s, d: updates.replaced(T(s, d), _new(T(s, d)), ANALYSIS), f"SELECT s, p, o FROM t WHERE NOT (p = 'urn:kg/ontology/gender' AND o = 'N.A.') UNION {_NEW}", "t")
-add("upd_cascade_delete", lambda s, d: updates.cascade_deleted(T(s, d), T(s, d).where((F.col("p") == ONT + "gender") & (F.col("o") == "Female")).select("s")), "SELECT s, p, o FROM t WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.s = t.s AND x.p = 'urn:kg/ontology/gender' AND x.o = 'Female')", "t")
+add("upd_insert_entities", lambda s, d: updates.inserted(T(s, d), _new(T(s, d, "gender")), T(s, d, "gender")), f"SELECT s, p, o FROM t UNION {_NEW}", "t")
+add("upd_replace_properties", lambda s, d: updates.replaced(T(s, d), _new(T(s, d, "gender")), ANALYSIS, T(s, d, "type")), f"SELECT s, p, o FROM t WHERE NOT (p = 'urn:kg/ontology/gender' AND o = 'N.A.') UNION {_NEW}", "t")
+add("upd_cascade_delete", lambda s, d: updates.cascade_deleted(T(s, d), T(s, d, "gender").where((F.col("p") == ONT + "gender") & (F.col("o") == "Female")).select("s")), "SELECT s, p, o FROM t", "t")
+# An analysis of women goes with all its triples.
+ORACLES["upd_cascade_delete"] = ORACLES["upd_cascade_delete"].replace(" FROM a1)", " FROM a1 WHERE gender <> 'Female')", 1)
 
 
 def _inferred(s: SparkSession, d: str) -> DataFrame:
@@ -419,11 +431,11 @@ add("upd_infer_broader", _inferred, "SELECT child AS s, 'broader' AS p, parent A
 
 # Shapes.
 P = lambda c: ONT + c
-add("dq_min_count", lambda s, d: shapes.count_violations(T(s, d), ANALYSIS, P("mediator"), 1), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/mediator' AS path, 'min_count' AS \"constraint\" FROM a WHERE mediator IS NULL", "a")
-add("dq_max_count", lambda s, d: shapes.count_violations(updates.inserted(T(s, d), _new(T(s, d))), ANALYSIS, P("gender"), 1, 1), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/gender' AS path, 'max_count' AS \"constraint\" FROM a WHERE gender = 'N.A.'", "a")
-add("dq_value_in", lambda s, d: shapes.value_violations(T(s, d), ANALYSIS, P("gender"), F.col("o").isin("Male", "Female", "Mixed"), "in"), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/gender' AS path, 'in' AS \"constraint\" FROM a WHERE gender NOT IN ('Male', 'Female', 'Mixed')", "a")
-add("dq_pattern", lambda s, d: shapes.value_violations(T(s, d), ANALYSIS, P("age_mean_raw"), F.col("o").rlike("^M="), "pattern"), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/age_mean_raw' AS path, 'pattern' AS \"constraint\" FROM a WHERE NOT starts_with(age_mean_raw, 'M=')", "a")
-add("dq_class_ref", lambda s, d: shapes.class_violations(T(s, d), ANALYSIS, P("vd_iri"), hierarchy.descendants_of(C(s, d), "ASIA").withColumnRenamed("descendant", "o")), f"SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/vd_iri' AS path, 'class' AS \"constraint\" FROM a WHERE vd_iri NOT IN (SELECT descendant FROM closure WHERE {LABEL.format('ancestor')} = 'ASIA')", "a", "closure")
+add("dq_min_count", lambda s, d: shapes.count_violations(T(s, d, "type", "mediator"), ANALYSIS, P("mediator"), 1), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/mediator' AS path, 'min_count' AS \"constraint\" FROM a WHERE mediator IS NULL", "a")
+add("dq_max_count", lambda s, d: shapes.count_violations(updates.inserted(T(s, d, "type", "gender"), _new(T(s, d, "type", "gender"))), ANALYSIS, P("gender"), 1, 1), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/gender' AS path, 'max_count' AS \"constraint\" FROM a WHERE gender = 'N.A.'", "a")
+add("dq_value_in", lambda s, d: shapes.value_violations(T(s, d, "type", "gender"), ANALYSIS, P("gender"), F.col("o").isin("Male", "Female", "Mixed"), "in"), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/gender' AS path, 'in' AS \"constraint\" FROM a WHERE gender NOT IN ('Male', 'Female', 'Mixed')", "a")
+add("dq_pattern", lambda s, d: shapes.value_violations(T(s, d, "type", "age_mean_raw"), ANALYSIS, P("age_mean_raw"), F.col("o").rlike("^M="), "pattern"), "SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/age_mean_raw' AS path, 'pattern' AS \"constraint\" FROM a WHERE NOT starts_with(age_mean_raw, 'M=')", "a")
+add("dq_class_ref", lambda s, d: shapes.class_violations(T(s, d, "type", "vd_iri"), ANALYSIS, P("vd_iri"), hierarchy.descendants_of(C(s, d), "ASIA").withColumnRenamed("descendant", "o")), f"SELECT 'urn:kg/data/Analysis_' || analysis_id AS focus, 'urn:kg/ontology/vd_iri' AS path, 'class' AS \"constraint\" FROM a WHERE vd_iri NOT IN (SELECT descendant FROM closure WHERE {LABEL.format('ancestor')} = 'ASIA')", "a", "closure")
 add("dq_violation_summary", lambda s, d: QUERIES["dq_min_count"](s, d).unionByName(QUERIES["dq_value_in"](s, d)).unionByName(QUERIES["dq_pattern"](s, d)).groupBy("path", "constraint").agg(F.count(F.lit(1)).alias("n")), "SELECT 'urn:kg/ontology/mediator' AS path, 'min_count' AS \"constraint\", count(*) AS n FROM a WHERE mediator IS NULL UNION ALL SELECT 'urn:kg/ontology/gender', 'in', count(*) FROM a WHERE gender NOT IN ('Male', 'Female', 'Mixed') UNION ALL SELECT 'urn:kg/ontology/age_mean_raw', 'pattern', count(*) FROM a WHERE NOT starts_with(age_mean_raw, 'M=')", "a")
 
 # Typed entities: mapping, full records, updates, shapes, exports.

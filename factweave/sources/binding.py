@@ -108,12 +108,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: predicate local name and the column of analyses that it holds.
 PROPERTIES = ("relation_direction", "complexity", "gender", "practice_type", "sport_name", "mediator", "moderator", "country", "study_type", "vi_iri", "vd_iri", "age_mean_raw", "article_id")
-CLASSES = {"Analysis": "Analysis_", "Population": "Population_", "Relations": "Relations_"}
 
 
-def triples(rows: DataFrame, properties: tuple[str, ...] = PROPERTIES) -> DataFrame:
-    """s, p, o of analyses: one for each property that is neither null nor blank, and one for the class. A set."""
+def triples(rows: DataFrame, properties: tuple[str, ...] = PROPERTIES, typed: bool = True) -> DataFrame:
+    """s, p, o of analyses: one for each property that is neither null nor blank, and (typed) one for the class.
+
+    A set without a shuffle, as an analysis has one row and a property one value. Only the columns that the properties need are read.
+    """
     s = F.concat(F.lit(DATA + "Analysis_"), F.col("analysis_id"))
-    made = [F.struct(F.lit(TYPE).alias("p"), F.lit(ONTOLOGY + "Analysis").alias("o"))]
+    made = [F.struct(F.lit(TYPE).alias("p"), F.lit(ONTOLOGY + "Analysis").alias("o"))] if typed else []
     made += [F.struct(F.lit(ONTOLOGY + c).alias("p"), F.col(c).alias("o")) for c in properties]
-    return rows.select(s.alias("s"), F.explode(F.array(*made)).alias("t")).select("s", "t.p", "t.o").where("o is not null and o <> ''").distinct()
+    return rows.select(s.alias("s"), F.explode(F.array(*made)).alias("t")).select("s", "t.p", "t.o").where("o is not null and o <> ''")
