@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from factweave.functions import text
 from factweave.operators import entity_updates, exports, node_shapes, records
 from factweave.sources import mapping
 from factweave.sources.mapping import TERMS, TYPE, Constant, Entity, Ref, Template
@@ -149,3 +150,32 @@ def test_wide_columns_come_from_the_data(spark):
     assert exports.wide(rows.limit(0), "id").columns == ["id"]
     with pytest.raises(ValueError):
         exports.wide(rows.withColumnRenamed("id", "title"), "title")
+
+
+def test_closure_doubles_paths(spark):
+    from factweave.operators import hierarchy
+
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(11)]
+    edges = [*chain, ("n0", "n5"), ("a", "b"), ("b", "a"), ("z", "z"), ("n3", "n4")]
+    depth = {}
+    for start in {c for c, _ in edges}:
+        seen, todo, d = {}, {start}, 0
+        while todo:
+            d += 1
+            todo = {p for c, p in edges if c in todo} - seen.keys()
+            seen |= dict.fromkeys(todo, d)
+        depth |= {(start, x): k for x, k in seen.items()}
+    got = hierarchy.closure(spark.createDataFrame(edges, "child string, parent string"))
+    assert {(r["descendant"], r["ancestor"]): r["depth"] for r in got.collect()} == depth and got.count() == len(depth)
+    assert hierarchy.closure(spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
+def test_values_and_lines(spark):
+    rows = spark.createDataFrame([("1,5", "x:decimal"), ("7", "x:integer"), ("true", "x:boolean"), ("t", None), ("bad", "x:integer"), (None, "x:double")], "v string, d string")
+    got = [tuple(r["t"]) for r in rows.select(text.typed_value(F.col("v"), F.col("d")).alias("t")).collect()]
+    assert got == [(1.5, None, None, None), (None, 7, None, None), (None, None, True, None), (None, None, None, "t"), (None, None, None, None), (None, None, None, None)]
+    lines = spark.createDataFrame([("K", "0,5", "<", "0,05", "0,3"), (None, "N.A.", None, "0,05", None), ("", None, None, None, None)], "k string, r string, s string, p string, b string")
+    line = text.statistics_line([F.col("k")], F.col("r"), F.col("s"), F.col("p"), F.col("b"))
+    assert [r[0] for r in lines.select(line).collect()] == ["K | r=0,5, p<0,05, β=0,3", "p=0,05", ""]
+    filters = spark.createDataFrame([("Male", "gear", 15, 20), (None, "N.A.", None, 20), (None, None, None, None)], "g string, s string, a int, b int")
+    assert [r[0] for r in filters.select(text.filters_text(F.col("g"), F.col("s"), F.col("a"), F.col("b"))).collect()] == ["Genre: Male, Sport: gear, Âge: 15-20", "Âge: ?-20", ""]

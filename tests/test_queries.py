@@ -14,6 +14,8 @@ NAMES = (
     "search_combined_profile", "hier_closure", "hier_roots", "hier_neighbourhood", "hier_stats", "join_optional_group", "join_range_overlap", "join_flexible_id", "agg_by_top_category", "agg_completeness",
     "agg_topn_with_others", "agg_sample_buckets", "facet_categories_vi", "suggest_prefix_first", "norm_unit_range", "fn_apa_reference", "fn_clean_value", "net_nodes", "net_edges_grouped", "net_link_curves",
     "drill_wide_record", "etl_unique_ids", "src_csv_semicolon", "src_ntriples_parse", "export_turtle_triples", "upd_replace_properties", "upd_infer_broader", "dq_violation_summary", "pattern_path_plus",
+    "map_entities", "drill_full_record", "upd_cascade_satellites", "upd_store_versions", "dq_shape_violations", "export_result_triples", "export_wide_dynamic", "report_competency", "net_node_pages", "src_turtle_round_trip", "src_ragged_text",
+    "suggest_index_ati", "cq_by_direction_and_dimension", "upd_cascade_delete", "join_reverse_any", "facet_categories_vd",
     "norm_unit_table_extended", "norm_supported_units", "facet_value_lists", "src_csv_comma", "export_json_lines",
 )
 

@@ -17,5 +17,5 @@ def test_append(spark, tmp_path):
     s, p = binding.DATA + "Analysis_", binding.ONTOLOGY
     first = [(s + "1", p + "gender", "Male"), (s + "1", binding.TYPE, p + "Analysis"), (s + "2", p + "gender", "Female"), (s + "2", p + "mediator", "x"), (s + "2", binding.TYPE, p + "Analysis")]
     assert run() == sorted(first)
-    (source / "b.csv").write_text("analysis_id;gender;mediator\n2;Female;x\n3;Mixed;\n")
+    (source / "b.csv").write_text("analysis_id;gender;mediator\n2;Female;x\n3;Mixed;\n3;Mixed;\n")
     assert run() == sorted([*first, (s + "3", p + "gender", "Mixed"), (s + "3", binding.TYPE, p + "Analysis")])
