@@ -39,14 +39,15 @@ def sql_template(t: Template) -> str:
 def sql_graph(predicates: tuple[str, ...] = (), entities=ENTITIES, table: str = "sheet") -> str:
     """The mapping as a union of selects, one for each entity and predicate."""
     full = {p if ":" in p else P(p) for p in predicates}
-    selects = []
+    selects: dict[bool, list[str]] = {True: [], False: []}
     for e in entities:
         for p, o in mapping.wanted(e, full or None):
             value = sql_value(o.column) if isinstance(o, Ref) else sql_template(o) if isinstance(o, Template) else sql_text(o.value)
             kind = "literal" if isinstance(o, Ref) else o.kind
             tags = [f"CAST({sql_text(x) if x else 'NULL'} AS STRING)" for x in (o.datatype, o.lang)]
-            selects.append(f"SELECT {sql_template(e.subject)} AS s, {sql_text(p)} AS p, {value} AS o, '{kind}' AS o_kind, {tags[0]} AS o_datatype, {tags[1]} AS o_lang FROM {table}")
-    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(selects) + ") WHERE s IS NOT NULL AND o IS NOT NULL"
+            selects[e.own].append(f"SELECT {sql_template(e.subject)} AS s, {sql_text(p)} AS p, {value} AS o, '{kind}' AS o_kind, {tags[0]} AS o_datatype, {tags[1]} AS o_lang FROM {table}")
+    parts = [f"SELECT {'' if own else 'DISTINCT '}* FROM ({' UNION ALL '.join(x)})" for own, x in selects.items() if x]
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE s IS NOT NULL AND o IS NOT NULL"
 
 
 SHEET = "SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in FIELDS.items()) + " FROM a"
@@ -121,11 +122,12 @@ add(
     over_graph(f"SELECT r.entity, field, count(*) AS n, count(DISTINCT value) AS n_values, min(value) AS least, max(value) AS most FROM r JOIN (VALUES {_FIELD_VALUES}) v(entity, property, field) ON r.entity = v.entity AND r.property = v.property GROUP BY 1, 2", more=_RECORD),
 )
 _FIELD_NAMES = list(dict.fromkeys(f for *_, f in records.FIELDS))
-_FIELD_SQL = ", ".join("coalesce(min(value) FILTER (" + " OR ".join(f"entity = '{e}' AND property = '{P(p)}'" for e, p, f in records.FIELDS if f == name) + f"), 'N/A') AS {name}" for name in _FIELD_NAMES)
+_FIELD_PLACES = ", ".join(f"('{e}', '{P(p)}', {_FIELD_NAMES.index(f)})" for e, p, f in records.FIELDS)
+_FIELD_SQL = ", ".join(f"coalesce(min(value) FILTER (k = {k}), 'N/A') AS {name}" for k, name in enumerate(_FIELD_NAMES))
 add(
     "drill_full_record",
     lambda s, d: records.wide(_record(s, d)),
-    over_graph(f"SELECT analysis, {_FIELD_SQL}, count(DISTINCT entity || ' ' || property) AS n_properties, array_to_string(list_sort(list(DISTINCT entity)), ', ') AS entities_found FROM r GROUP BY 1", more=_RECORD),
+    over_graph(f"SELECT analysis, {_FIELD_SQL}, count(DISTINCT entity || ' ' || property) AS n_properties, array_to_string(list_sort(list(DISTINCT entity)), ', ') AS entities_found FROM r LEFT JOIN (VALUES {_FIELD_PLACES}) v(e, p, k) ON r.entity = v.e AND r.property = v.p GROUP BY 1", more=_RECORD),
 )
 
 
