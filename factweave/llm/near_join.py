@@ -3,9 +3,9 @@
 Texts that are equal word for word form one class and go on as one representative. Each representative has a signature, read
 as `TREES` sequences of `DEPTH` labels; a tree is the prefix trie of one of these sequences, and a trie's node holds the representatives that share a prefix. Only
 nodes of two or more are kept, from the prefix length `LEAST` on down to the full length. Representatives that meet in a node are gathered under
-its least one, the hub. The matched prefix begins at full length and is shortened, a label at a time, until the links that are
-expected to be missed are within the target recall in each band of similarity in which links were found (shortened()); corpora whose copies are
-all close need no short prefixes. `LEAST` is the length at which two texts at the threshold meet with the target recall, whatever was found.
+its least one, the hub, with the longest prefix at which they met. Of all that met at `LEAST`, those count that met at the matched prefix: it is
+sought from the full length, a label shorter at a time, until the links that are expected to be missed are within the target recall in each band of similarity in
+which links were found (shortened()). It is one length for the whole table; corpora whose copies are all close need no short prefixes. `LEAST` is the length at which two texts at the threshold meet with the target recall, whatever was found.
 
 Groups are verified exactly on sets of five-word shingles. A group above `BLOCK` texts, or of more than `BLOCK_SHINGLES` shingles, is cut into blocks that all
 hold the hub, and every two blocks are then compared, so no link is lost, and no task or row holds an unbounded group. That work grows with the square of
