@@ -419,13 +419,23 @@ class Tokens:
         return out
 
 
-def added(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The field's spans that overlap none of base."""
-    return [(s, 3, e) for s, e in spans if not any(b[0] < e and s < b[2] for b in base)]
+def said_over(text: str, start: int, end: int) -> bool:
+    """Whether a span is one word said over and over: three times or more, or again directly before or after it. No credential reads so."""
+    own = text[start:end].split()
+    if len(set(own)) != 1:
+        return False
+    reach = len(own[0]) + 16
+    before, after = text[max(0, start - reach) : start].split()[-1:], text[end : end + reach].split()[:1]
+    return len(own) > 2 or own[:1] in (before, after)
+
+
+def added(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The field's spans that overlap none of base, without words said over and over."""
+    return [(s, 3, e) for s, e in spans if not any(b[0] < e and s < b[2] for b in base) and not said_over(text, s, e)]
 
 
 def added_spans(text: str, field: Field, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    return added(Tokens(field).found([text])[0], base)
+    return added(text, Tokens(field).found([text])[0], base)
 
 
 _worker: dict[str, Tokens] = {}
@@ -445,7 +455,7 @@ def all_spans(texts: list[str], tokens: Tokens, step: int = 128) -> Iterator[tup
         part = texts[k : k + step]
         for text, spans in zip(part, tokens.found(part), strict=True):
             base = base_spans(text)
-            yield base, added(spans, base)
+            yield base, added(text, spans, base)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

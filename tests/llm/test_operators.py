@@ -510,6 +510,15 @@ def test_toxicity_learns_rare_words_of_a_large_sample():
     assert model.score("hello there. bye")[0] < 0.5
 
 
+def test_words_said_over_are_no_secrets():
+    text = "Und Und Und der. key Xy9-Xy9 Xy9-Xy9 then a1 b2 a1 last last"
+    at = lambda w, k=0: (text.index(w, k), text.index(w, k) + len(w))
+    spans = [at("Und"), at("Und Und Und"), at("Xy9-Xy9"), at("a1 b2"), at("key"), (len(text) - 4, len(text))]
+    assert [text[s:e] for s, _, e in secrets.added(text, spans, [])] == ["a1 b2", "key"]
+    assert secrets.added(text, [at("key")], [(0, 0, len(text))]) == []
+    assert not secrets.said_over("Bearer Ab12Cd34", 7, 15) and not secrets.said_over("", 0, 0)
+
+
 def test_length_makes_no_text_toxic(spark):
     """The query's own fit on the given table; a clean text however long stays clean, and one toxic sentence within is found."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
