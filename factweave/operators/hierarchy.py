@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text
 from factweave.sources import binding
-from factweave.sources.shared import kept
-
-_closures: dict[tuple, DataFrame] = {}
+from factweave.sources.shared import kept, once
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -31,13 +29,9 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def closure_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closure of a folder's graph, made once for each Spark application and state of its edges: their number and a sum of their digests tell whether they changed."""
-    edges = binding.edges(spark, sf_dir)
-    state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first())
-    key = (spark.sparkContext.applicationId, *state)
-    if key not in _closures:
-        _closures[key] = closure(edges)
-    return _closures[key]
+    """The closure of a folder's graph, made once for each Spark application and state of the tables."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("supplier", "nation", "region", "part")]
+    return once(spark, "closure", paths, lambda: closure(binding.edges(spark, sf_dir)))
 
 
 def labelled(concept) -> F.Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import numbers, text
+from factweave.sources.shared import once
 
 VOCAB, DATA, ONTOLOGY = "urn:kg/vocab/", "urn:kg/data/", "urn:kg/ontology/"
 TYPE = "urn:kg/rdf/type"
@@ -31,6 +32,12 @@ def hundredths(column: str) -> Column:
 
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The property table: joined once for each application and state of the tables, then read by the columns that a query uses."""
+    tables = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
+    return once(spark, "analyses", [f"{sf_dir}/{t}.parquet" for t in tables], lambda: joined_analyses(spark, sf_dir))
+
+
+def joined_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each analysis, with what it links and the context; texts as they came in (_raw) and as numbers."""
     t = lambda name: table(spark, sf_dir, name)
     joined = (

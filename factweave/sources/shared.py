@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,3 +34,27 @@ def kept(df: DataFrame, name: str = "kept", *sorted_by: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     (df.sortWithinPartitions(*sorted_by) if sorted_by else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def state(spark: SparkSession, paths: list[str]) -> tuple:
+    """What tells whether files have changed: their number and a sum over path, length and time of change. No file is opened."""
+    files = spark.read.format("binaryFile").load(paths).select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("h")).first())
+
+
+_made: dict[tuple, tuple[str, StructType]] = {}
+
+
+def once(spark: SparkSession, name: str, paths: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make gives, written once for each application and state of the files it is made from; made again if they change, or if it was cleared away."""
+    key = (spark.sparkContext.applicationId, name, *state(spark, paths))
+    if key in _made:
+        path, schema = _made[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # the folder was cleared
+            del _made[key]
+    df, path = make(), new_path(spark, name)
+    df.write.parquet(path)
+    _made[key] = path, df.schema
+    return spark.read.schema(df.schema).parquet(path)

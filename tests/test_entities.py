@@ -179,3 +179,26 @@ def test_values_and_lines(spark):
     assert [r[0] for r in lines.select(line).collect()] == ["K | r=0,5, p<0,05, β=0,3", "p=0,05", ""]
     filters = spark.createDataFrame([("Male", "gear", 15, 20), (None, "N.A.", None, 20), (None, None, None, None)], "g string, s string, a int, b int")
     assert [r[0] for r in filters.select(text.filters_text(F.col("g"), F.col("s"), F.col("a"), F.col("b"))).collect()] == ["Genre: Male, Sport: gear, Âge: 15-20", "Âge: ?-20", ""]
+
+
+def test_tables_are_made_once_for_each_state_of_the_files(spark, tmp_path):
+    import shutil
+
+    from factweave.sources import shared
+
+    path, made = str(tmp_path / "t.parquet"), []
+
+    def get():
+        def make():
+            made.append(1)
+            return spark.read.parquet(path)
+
+        return sorted(r[0] for r in shared.once(spark, "probe", [path], make).collect())
+
+    spark.range(3).coalesce(1).write.parquet(path)
+    assert get() == get() == [0, 1, 2] and len(made) == 1
+    spark.range(3, 5).coalesce(1).write.mode("append").parquet(path)  # the files changed
+    assert get() == [0, 1, 2, 3, 4] and len(made) == 2
+    key = max((k for k in shared._made if k[1] == "probe"), key=lambda k: k[2])
+    shutil.rmtree(shared._made[key][0].removeprefix("file:"))  # cleared away
+    assert get() == [0, 1, 2, 3, 4] and len(made) == 3
