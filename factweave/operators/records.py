@@ -118,10 +118,15 @@ def with_fields(rows: DataFrame) -> DataFrame:
 
 
 def wide(rows: DataFrame) -> DataFrame:
-    """analysis, a column for each field (the least value; N/A where there is none), n_properties (of any entity), entities_found."""
-    names = list(dict.fromkeys(f for *_, f in FIELDS))
+    """analysis, a column for each field (the least value; N/A where there is none), n_properties (of any entity), entities_found.
+
+    Values are brought down to one for each entity and property first, so what an analysis gathers is as long as its properties, whatever they hold.
+    """
+    names = [f for *_, f in FIELDS]
     each = rows.groupBy("analysis", "entity", "property").agg(F.min("value").alias("value"))
     name = F.concat_ws("\n", "entity", "property")
     field = text.looked_up(name, {f"{e}\n{P(p)}": f for e, p, f in FIELDS}, F.lit(None).cast("string"))
-    columns = [F.coalesce(F.min(F.when(F.col("field") == f, F.col("value"))), F.lit("N/A")).alias(f) for f in names]
-    return each.withColumn("field", field).groupBy("analysis").agg(*columns, F.count(F.lit(1)).alias("n_properties"), F.array_join(F.array_sort(F.collect_set("entity")), ", ").alias("entities_found"))
+    gathered = each.select("analysis", "entity", F.struct(field.alias("field"), "value").alias("x")).groupBy("analysis").agg(F.collect_list("x").alias("cells"), F.collect_set("entity").alias("entities"))
+    values = gathered.withColumn("values", F.map_from_entries(F.filter("cells", lambda x: x["field"].isNotNull())))
+    columns = [F.coalesce(F.element_at("values", f), F.lit("N/A")).alias(f) for f in names]
+    return values.select("analysis", *columns, F.size("cells").cast("long").alias("n_properties"), F.array_join(F.array_sort("entities"), ", ").alias("entities_found"))
