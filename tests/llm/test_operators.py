@@ -741,5 +741,5 @@ def test_near_join_recall_against_all_pairs(spark):
 
 
 def test_registered():
-    assert [q.split("_")[0] for q in registry.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [q.split("_")[0] for q in registry.queries()] == [f"op{k}" for k in range(1, 14)]
     assert hashlib.sha256(b"").hexdigest() == secrets.sha256("")

@@ -1,6 +1,9 @@
 """Near duplicates by cover trees and whitening by QDWH against brute force, with odd vectors."""
 
+import itertools
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from factweave.llm import cover_tree, whitening
@@ -74,6 +77,29 @@ def test_tree_covers():
         assert [k for b in below for k in range(*tree.nodes[b][1:3])] == (list(range(start, end)) if below else [])
 
 
+@pytest.mark.parametrize("block", [7, 64, 1000])
+@pytest.mark.parametrize("threshold", [0.5, 0.9, 0.97])
+def test_traversal_against_all_pairs(threshold, block):
+    """Trees and their traversal alone: links by all pairs of points, and their components."""
+    x = np.array(clustered(block))
+    x, copies = np.unique(x / np.linalg.norm(x, axis=1)[:, None], axis=0, return_counts=True)
+    order = np.random.default_rng(block).permutation(len(x))
+    parts = [order[k : k + block] for k in range(0, len(x), block)]
+    frames = [pd.DataFrame({"rid": [int(i).to_bytes(16, "big") for i in p], "copies": copies[p], "unit": [x[i].tobytes() for i in p], "block": b, "bundle": b // 3}) for b, p in enumerate(parts)]
+    trees = pd.concat([cover_tree.built(f, x.shape[1]) for f in frames])
+    links, joined = np.zeros(len(x), dtype=int), cover_tree.Sets(len(x))
+    for i, j in itertools.combinations_with_replacement(sorted(set(trees["bundle"])), 2):
+        for rid, root, n in cover_tree.compared((i, j), trees[trees["bundle"].isin([i, j])], x.shape[1], threshold).itertuples(index=False):
+            links[int.from_bytes(rid, "big")] += n
+            joined.join(np.array([int.from_bytes(rid, "big")]), np.array([int.from_bytes(root, "big")]))
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    assert links.tolist() == (near @ copies).tolist()
+    all_pairs = cover_tree.Sets(len(x))
+    all_pairs.join(*np.nonzero(near))
+    assert joined.label.tolist() == all_pairs.label.tolist()
+
+
 @pytest.mark.parametrize("threshold", [0.5, 1.0])
 def test_other_thresholds(spark, threshold):
     vectors = clustered(2)
