@@ -49,7 +49,7 @@ BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 WINDOW = 28
 TRAIN_WINDOWS = 6000
 TRAIN_DOCUMENTS = 2000
-KEPT = 200_000
+KEPT = 300_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS, train_windows:
 
 
 class Tokens:
-    """Rows of weights for words and their tokens, each looked up once and kept until there are `KEPT` words. Tokens with the same features share a row; row 0 stands before and after a text."""
+    """Rows of weights for words and their tokens, each looked up once and kept while it is among the `KEPT` words met last. Tokens with the same features share a row; row 0 stands before and after a text."""
 
     PLACES = ("w", "p1", "p2", "n1", "name")
 
@@ -335,19 +335,20 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.rows, self.sign, self.known = [[0.0] * 3 + self.identities.get("", [0.0] * 15)[3:]], [False], {}
-        #: Of each word its tokens' rows, and numbers by which equal tokens are told.
+        first = [0.0] * 3 + self.identities.get("", [0.0] * 15)[3:]
+        #: The rows' three numbers for each place, rows that were added since, and whether a row is of a sign that a name stands before.
+        self.rows = [np.array([first[k : k + 3]]) for k in range(0, 15, 3)]
+        self.sign, self.added, self.known = np.zeros(1, dtype=bool), [], {}
+        #: Of each word its tokens' rows, and numbers by which equal tokens are told: of the words met lately, and of those met before them.
         self.words: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
-        self.table: tuple | None = None
+        self.before: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
     def row(self, key: tuple, own: list[str], name: str) -> int:
         if (k := self.known.get(key)) is None:
-            k = self.known[key] = len(self.rows)
+            k = self.known[key] = len(self.sign) + len(self.added)
             row = list(self.identities.get(name, [0.0] * 15))
             row[:3] = [a + b for a, b in zip(row[:3], self.field.emission(own), strict=True)]
-            self.rows.append(row)
-            self.sign.append(name in ("=", ":"))
-            self.table = None
+            self.added.append((row, name in ("=", ":")))
         return k
 
     def token(self, t: str) -> int:
@@ -365,20 +366,24 @@ class Tokens:
 
     def emissions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, 3) of all texts, one after the other, and how many tokens each has."""
-        if len(self.words) > KEPT:
+        if len(self.sign) > KEPT // 4:
             self.clear()
+        elif len(self.words) > KEPT // 2:  # words that aren't met again soon go, frequent ones stay
+            self.words, self.before = {}, self.words
         split = [t.split() for t in texts]
         every = [w for x in split for w in x]
         got = list(map(self.words.get, every))
         if None in got:
             for w in set(every):
                 if w not in self.words:
-                    self.words[w] = self.word(w)
+                    self.words[w] = self.before.pop(w, None) or self.word(w)
             got = list(map(self.words.__getitem__, every))
-        if self.table is None:
-            rows = np.array(self.rows)
-            self.table = [np.ascontiguousarray(rows[:, k : k + 3]) for k in range(0, 15, 3)], np.array(self.sign)
-        (own, p1, p2, n1, name), sign = self.table
+        if self.added:
+            new = np.array([row for row, _ in self.added])
+            self.rows = [np.vstack([x, new[:, 3 * k : 3 * k + 3]]) for k, x in enumerate(self.rows)]
+            self.sign = np.append(self.sign, [x for _, x in self.added])
+            self.added = []
+        (own, p1, p2, n1, name), sign = self.rows, self.sign
         n = np.fromiter([len(x) for x, _ in got], np.int64, len(got))
         flat = np.fromiter(chain.from_iterable([x for x, _ in got]), np.int64, int(n.sum()))
         told = np.fromiter(chain.from_iterable([x for _, x in got]), np.int64, len(flat))
