@@ -5,8 +5,8 @@ from tests.conftest import SF
 from pyspark.sql import functions as F
 
 from factweave import queries
-from factweave.operators import entity_updates, suggestions, updates
-from factweave.sources import binding, files, shared, turtle
+from factweave.operators import entity_updates, node_shapes, suggestions, updates
+from factweave.sources import binding, files, mapping, shared, turtle
 from factweave.sources.mapping import TERMS, Entity, Ref, Template
 
 
@@ -84,3 +84,37 @@ def test_forms_of_one_id_make_a_set(spark):
     got = sorted((r.s, r.p, r.o) for r in entity_updates.form_triples(forms, entities).collect())
     a = lambda i, y: [(f"urn:a/{i}", "urn:p", "x"), *[(f"urn:a/{i}", "urn:q", v) for v in y], (f"urn:a/{i}", "urn:kg/rdf/type", "urn:A"), ("urn:b/x", "urn:has", f"urn:a/{i}")]
     assert got == sorted([*a(1, ("u", "v")), *a(2, ("N.A.",)), ("urn:s/x", "urn:kg/rdf/type", "urn:S")])
+
+
+_ENTITIES = (
+    Entity("A", Template("urn:a/{id}"), ("urn:A",), {"urn:p": Ref("x", "urn:int"), "urn:has": Template("urn:s/{x}"), "urn:also": Template("urn:z/{x}")}, own=True),
+    Entity("S", Template("urn:s/{x}"), ("urn:S",), {"urn:p": Ref("y"), "urn:to": Template("urn:a/{id}")}),
+    Entity("L", Template("urn:s/{x}"), (), {"urn:near": Template("urn:a/{id}")}, own=True),
+)
+_ROWS = [("1", "u", "k"), ("2", "u", "k"), ("3", "u", "l m"), ("4", None, "k"), ("5", " ", "k"), ("6", "v w", None), (None, "u", "k")]
+
+
+def test_only_subjects_of_one_row_are_alone():
+    assert [mapping.alone(e, _ENTITIES) for e in _ENTITIES] == [True, False, False]
+    assert mapping.surely_of(Template("urn:s/{x}"), "urn:S", _ENTITIES) and not mapping.surely_of(Template("urn:z/{x}"), "urn:S", _ENTITIES)
+
+
+def test_predicates_are_counted_without_making_triples_of_single_rows(spark):
+    rows = spark.createDataFrame(_ROWS, "id string, x string, y string")
+    whole = mapping.triples(rows, _ENTITIES).groupBy("p", "o_kind", "o_datatype", "o_lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("n_subjects"), F.min("o").alias("least"), F.max("o").alias("most"))
+    assert sorted(map(tuple, mapping.by_predicate(rows, _ENTITIES).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert mapping.by_predicate(rows.limit(0), _ENTITIES).count() == 0
+
+
+def test_shapes_of_single_rows_are_judged_in_their_row(spark):
+    rows = spark.createDataFrame(_ROWS, "id string, x string, y string")
+    shapes = (
+        node_shapes.Shape("A", "urn:A", (node_shapes.Rule("urn:p", 1, 1, datatype="urn:other", pattern="^u$"), node_shapes.Rule("urn:has", 1, cls="urn:S"), node_shapes.Rule("urn:also", 0, 0, node_kind="literal", cls="urn:S"), node_shapes.Rule("urn:none", 2))),
+        node_shapes.Shape("S", "urn:S", (node_shapes.Rule("urn:p", 2, 1, values=("k",)), node_shapes.Rule("urn:near", 1, 2, cls="urn:A"), node_shapes.Rule("urn:to", 0, 1, cls="urn:S"))),
+    )
+    whole = sorted(map(tuple, node_shapes.violations(mapping.triples(rows, _ENTITIES), shapes).collect()))
+    assert sorted(map(tuple, node_shapes.mapped_violations(rows, _ENTITIES, shapes).collect())) == whole
+    assert ("A", "urn:a/4", "urn:p", "min_count", 1) in whole and ("S", "urn:s/u", "urn:near", "max_count", 1) in whole and ("A", "urn:a/1", "urn:also", "class", 1) in whole
+    # The own part of a shape deals nothing out.
+    own = node_shapes.mapped_violations(rows, _ENTITIES[:1], (node_shapes.Shape("A", "urn:A", (node_shapes.Rule("urn:p", 1, pattern="^u$"),)),))
+    assert "hashpartitioning" not in plan(own)
