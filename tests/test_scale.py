@@ -5,8 +5,8 @@ from tests.conftest import SF
 from pyspark.sql import functions as F
 
 from factweave import queries
-from factweave.operators import entity_updates, node_shapes, suggestions, updates
-from factweave.sources import binding, files, mapping, shared, turtle
+from factweave.operators import entity_updates, node_shapes, records, suggestions, updates
+from factweave.sources import binding, files, mapping, shared, sheet, turtle
 from factweave.sources.mapping import TERMS, Entity, Ref, Template
 
 
@@ -118,3 +118,15 @@ def test_shapes_of_single_rows_are_judged_in_their_row(spark):
     # The own part of a shape deals nothing out.
     own = node_shapes.mapped_violations(rows, _ENTITIES[:1], (node_shapes.Shape("A", "urn:A", (node_shapes.Rule("urn:p", 1, pattern="^u$"),)),))
     assert "hashpartitioning" not in plan(own)
+
+
+def test_branches_of_single_rows_are_counted_in_their_row(spark):
+    """As the walk over all triples gives them; repeated and missing nodes included."""
+    sheet_rows = sheet.sheet(spark, SF).where("l_orderkey < 60")
+    whole = records.record(g := mapping.triples(sheet_rows, sheet.ENTITIES).cache(), g.where((F.col("p") == mapping.TYPE) & F.col("o").endswith("/Analysis")).select("s"))
+    whole = whole.groupBy("analysis", "entity", "entity_type").agg(F.count(F.lit(1)), F.countDistinct("sub_entity"), F.min("property"), F.sum(F.char_length("value")))
+    root = next(e.subject for e in sheet.ENTITIES if e.name == "Analysis")
+    got = records.mapped_branches(sheet_rows, sheet.ENTITIES, root)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    assert records.resolved(sheet.ENTITIES, root, (records.Path("x", "nested", ("hasSport", "inScheme")),)) is None
+    g.unpersist()
