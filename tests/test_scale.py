@@ -130,3 +130,25 @@ def test_branches_of_single_rows_are_counted_in_their_row(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
     assert records.resolved(sheet.ENTITIES, root, (records.Path("x", "nested", ("hasSport", "inScheme")),)) is None
     g.unpersist()
+
+
+def test_full_records_without_the_triples(spark):
+    """Fields and their counts as the walk over all triples gives them, with rows that disagree on a shared node, blank ids and missing links; no triple is dealt out."""
+    rows = sheet.sheet(spark, SF).where("l_orderkey < 60")
+    odd = F.col("l_linenumber") == 2
+    rows = rows.withColumns({
+        "country": F.when(odd, "Elsewhere").otherwise(F.col("country")),
+        "article_id": F.when(F.col("l_linenumber") == 3, " ").otherwise(F.col("article_id")),
+        "sport_name": F.when(F.col("l_linenumber") == 4, None).otherwise(F.col("sport_name")),
+        "mediator_name": F.when(odd, F.col("moderator")).otherwise(F.col("mediator_name")),
+        "analysis_id": F.when(F.col("l_linenumber") == 5, "").otherwise(F.col("analysis_id")),
+    }).localCheckpoint()
+    whole = records.record(g := mapping.triples(rows, sheet.ENTITIES).cache(), g.where((F.col("p") == mapping.TYPE) & F.col("o").endswith("/Analysis")).select("s")).cache()
+    root = next(e.subject for e in sheet.ENTITIES if e.name == "Analysis")
+    wide, got = records.wide(whole), records.mapped_wide(rows, sheet.ENTITIES, root)
+    assert got.columns == wide.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, wide.collect()))
+    fields = records.with_fields(whole).groupBy("entity", "field").agg(F.count(F.lit(1)), F.countDistinct("value"), F.min("value"), F.max("value"))
+    assert sorted(map(tuple, records.mapped_fields(rows, sheet.ENTITIES, root).collect())) == sorted(map(tuple, fields.collect()))
+    none = rows.limit(0)
+    assert records.mapped_wide(none, sheet.ENTITIES, root).count() == records.mapped_fields(none, sheet.ENTITIES, root).count() == 0
+    g.unpersist(), whole.unpersist()
