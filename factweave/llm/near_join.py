@@ -8,10 +8,11 @@ sought from the full length, a label shorter at a time, until the links that are
 which links were found (shortened()). It is one length for the whole table; corpora whose copies are all close need no short prefixes. `LEAST` is the length at which two texts at the threshold meet with the target recall, whatever was found.
 
 Groups are verified exactly on sets of five-word shingles. A group above `BLOCK` texts, or of more than `BLOCK_SHINGLES` shingles, is cut into blocks that all
-hold the hub, and every two blocks are then compared, so no link is lost, and no task or row holds an unbounded group. That work grows with the square of
+hold the hub, and every two blocks are then compared, so no link is lost, and no task or row holds an unbounded group. For that a text is dealt out once for each
+tile of `TILE` texts, not for each block. The comparisons grow with the square of
 a group's size, as the number of its links does. Where only classes are
 wanted (deduplicated()), texts that are not joined to the hub within their block are compared with every text of the group, block by block,
-which loses no link that would join two classes. Only a tree of links and the number of links leave a block, never all pairs.
+which loses no link that would join two classes. Only a tree of links and the number of links leave a block or a pair of tiles, never all pairs.
 
 Classes are the connected components of the links, found by spreading the least label. n_links of a document is the number of
 documents it was verified to be linked with, word-for-word copies included; each pair of texts is counted in one place, whatever groups it meets in.
@@ -40,6 +41,9 @@ DEPTH = 8
 RECALL = 0.9995
 BLOCK = 256
 BLOCK_SHINGLES = 1_000_000
+#: Texts, or shingles, of a tile: the blocks of a group that meet those of another tile in one task, which compares them block by block.
+TILE = 1024
+TILE_SHINGLES = 1_000_000
 #: Lower ends of the bands of similarity; the first takes in what is estimated below it, since estimates vary.
 BANDS = (0.8, 0.85, 0.9, 0.95)
 #: Candidates are broadcast to filter the texts up to this many (some 50 bytes each), and joined by a shuffle beyond.
@@ -198,10 +202,10 @@ def verified(grouped: DataFrame, cross: bool) -> DataFrame:
     """Each member's root within its group, the links counted there, and whether it is still open: in a group that was cut, and not joined to the hub.
 
     role: 1 in a group that was cut, else 0. cross: only links between members of role 1 (of one block, or open) and others (0, or 2 if open
-    themselves) are looked for, and those counted that no first block and no lesser hub has counted. A text is given as its
-    sorted shingles where grouped has these.
+    themselves) are looked for, and those counted that no first block and no lesser hub has counted; with role 3, those between members of
+    different parts. A text is given as its sorted shingles where grouped has these.
     """
-    given = "shingles" in grouped.columns
+    given = cross or "shingles" in grouped.columns
 
     def shared(keys: list[list[int]]) -> np.ndarray:
         """Whether two members have a key in common."""
@@ -247,12 +251,41 @@ def verified(grouped: DataFrame, cross: bool) -> DataFrame:
         cut = bool((role == 1).any()) and not cross
         return pd.DataFrame({"hub": hub, "rid": rids, "root": [rids[k] for k in root], "part": parts, "n_links": counted @ copies, "open": [cut and k != at_hub for k in root]})
 
+    def tiles(g: pd.DataFrame) -> pd.DataFrame:
+        """Two tiles, or one with itself, block by block: the links of each member and its root in these tiles, without members that have none."""
+        g = g.drop_duplicates(["rid", "role"])
+        if "text" in g:
+            g = g.assign(shingles=[np.unique(exact_shingles(t)).view(np.int64) for t in g["text"]]).drop(columns="text")
+        if (g["role"] == 3).any():
+            blocks = [x for _, x in g.groupby("part")]
+            pairs = ((a.assign(role=1), b.assign(role=0)) for k, a in enumerate(blocks) for b in blocks[k + 1 :])
+        else:
+            left, right = ([x.iloc[k : k + BLOCK] for k in range(0, len(x), BLOCK)] for x in (g[g["role"] == 1], g[g["role"] != 1]))
+            pairs = ((a, b) for a in left for b in right)
+        parent: dict[int, int] = {}
+        n_links: dict[int, int] = defaultdict(int)
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        for a, b in pairs:
+            out = one(pd.concat([a, b], ignore_index=True))
+            for rid, root, n in zip(out["rid"].tolist(), out["root"].tolist(), out["n_links"].tolist(), strict=True):
+                n_links[rid] += n
+                parent[find(rid)] = find(root)
+        rows = [(x, find(x), n) for x, n in n_links.items()]
+        found = np.array([x for x in rows if x[2] or x[0] != x[1]], dtype=np.int64).reshape(-1, 3)  # typed, if empty too: ids must not become floats
+        hub = np.full(len(found), g["hub"].iat[0], dtype=np.int64)
+        return pd.DataFrame({"hub": hub, "rid": found[:, 0], "root": found[:, 1], "part": np.zeros(len(found), np.int32), "n_links": found[:, 2], "open": np.zeros(len(found), bool)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         last = None
 
         def done() -> pd.DataFrame:
-            return one(pd.concat(held, ignore_index=True))
+            return (tiles if cross else one)(pd.concat(held, ignore_index=True))
 
         for pdf in frames:
             out = []
@@ -305,13 +338,12 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "text").mapInPandas(run, "rid long, shingles array<long>")
 
 
-def block_pairs(placed: DataFrame) -> DataFrame:
-    """hub, rid, part, role, gid: every two blocks of each group that was cut; role 1 in the block of the lesser number. The hub was compared with all."""
-    members = placed.where("role = 1 and rid <> hub").select("hub", "rid", "part", "blocks").repartition("rid")  # a large group is spread before it grows
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("part")))
-    pairs = members.select("hub", "rid", "part", others.alias("other"))
-    gid = F.xxhash64("hub", F.least("part", "other"), F.greatest("part", "other"))
-    return pairs.select("hub", "rid", "part", (F.col("part") < F.col("other")).cast("int").alias("role"), gid.alias("gid"))
+def tile_pairs(placed: DataFrame) -> DataFrame:
+    """hub, rid, part, role, gid: every two tiles of each group that was cut, role 1 in that of the lesser number, and each tile with itself, role 3. The hub was compared with all."""
+    members = placed.where("role = 1 and rid <> hub").select("hub", "rid", "part", "tile", "tiles").repartition("rid")  # a large group is spread before it grows
+    pairs = members.select("hub", "rid", "part", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    role = F.when(F.col("tile") == F.col("other"), 3).otherwise((F.col("tile") < F.col("other")).cast("int"))
+    return pairs.select("hub", "rid", "part", role.alias("role"), F.xxhash64("hub", F.least("tile", "other"), F.greatest("tile", "other")).alias("gid"))
 
 
 def classes(docs: DataFrame, threshold_prefix: int | None = None, count: bool = True) -> DataFrame:
@@ -326,8 +358,9 @@ def classes(docs: DataFrame, threshold_prefix: int | None = None, count: bool =
     sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("n_shingles"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n") - 1, F.ceil(F.col("n_shingles") / BLOCK_SHINGLES))).cast("int")
     part = F.when(F.col("rid") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int")))
-    placed = met.drop("n_shingles").join(sizes.where("n > 1").select("hub", blocks.alias("blocks")), "hub").select("hub", "rid", "blocks", (F.col("blocks") > 1).cast("int").alias("role"), F.explode(part).alias("part"))
-    placed = written(placed.withColumn("gid", F.xxhash64("hub", "part")), "placed")
+    tiles = F.least(blocks, F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("n_shingles") / TILE_SHINGLES)).cast("int"))
+    placed = met.drop("n_shingles").join(sizes.where("n > 1").select("hub", blocks.alias("blocks"), tiles.alias("tiles")), "hub").select("hub", "rid", "blocks", "tiles", (F.col("blocks") > 1).cast("int").alias("role"), F.explode(part).alias("part"))
+    placed = written(placed.withColumns({"gid": F.xxhash64("hub", "part"), "tile": F.floor(F.col("part") * F.col("tiles") / F.col("blocks")).cast("int")}), "placed")
     # A representative is in as many groups as there are tries at most, besides those of which it is the hub.
     groups = placed.where("rid <> hub").groupBy("rid").agg(F.collect_set(F.struct("gid", "hub")).alias("groups")).select("rid", F.col("groups.gid").alias("gids"), F.col("groups.hub").alias("hubs"))
     texts = written(texts_of(docs, placed.select("rid").distinct()), "texts", compression="zstd").dropDuplicates(["rid"])
@@ -340,15 +373,16 @@ def classes(docs: DataFrame, threshold_prefix: int | None = None, count: bool =
     if count:
         cut = placed.where("role = 1 and rid <> hub").select("rid").distinct()
         sets = written(shingle_sets(texts.join(cut, "rid", "left_semi")), "sets", compression="zstd")
-        second = block_pairs(placed).join(about, "rid").join(sets, "rid").select("gid", "hub", "rid", "n_copies", "gids", "hubs", "part", "role", "shingles")
+        second = tile_pairs(placed).join(about, "rid").join(sets, "rid").select("gid", "hub", "rid", "n_copies", "gids", "hubs", "part", "role", "shingles")
         first = first.unionByName(written(verified(second, True), "verified"))
     still = None if count else written(first.where("open").select("hub", "rid", "part").distinct(), "open")
     if still is not None and still.limit(1).count():
-        n_open = still.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lefts"))
-        members = placed.where("rid <> hub").select("hub", "rid", "part").join(n_open, "hub")
-        parts = placed.groupBy("hub").agg((F.max("part") + 1).alias("blocks"))
-        one = still.join(n_open, "hub").join(parts, "hub").select("hub", "rid", "part", F.lit(1).alias("role"), F.pmod(F.xxhash64("rid", F.lit(2)), F.col("lefts")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"))
-        other = members.join(still.select("hub", "rid", F.lit(2).alias("role")), ["hub", "rid"], "left").select("hub", "rid", "part", F.coalesce("role", F.lit(0)).alias("role"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), F.col("part").alias("right"))
+        # Open texts are dealt to tiles of their own, by their shingles' share in the group too.
+        n_open = still.groupBy("hub").agg(F.count(F.lit(1)).alias("n_open"))
+        n_open = n_open.join(sizes.select("hub", tiles.alias("tiles"), "n"), "hub").select("hub", "tiles", F.least(F.col("tiles"), F.ceil(F.col("n_open") * F.col("tiles") / F.col("n")) + 1).cast("int").alias("lefts"))
+        members = placed.where("rid <> hub").select("hub", "rid", "part", "tile").join(n_open.drop("tiles"), "hub")
+        one = still.join(n_open, "hub").select("hub", "rid", "part", F.lit(1).alias("role"), F.pmod(F.xxhash64("rid", F.lit(2)), F.col("lefts")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("right"))
+        other = members.join(still.select("hub", "rid", F.lit(2).alias("role")), ["hub", "rid"], "left").select("hub", "rid", "part", F.coalesce("role", F.lit(0)).alias("role"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), F.col("tile").alias("right"))
         crossed = one.unionByName(other).withColumn("gid", F.xxhash64("hub", "left", "right"))
         second = crossed.join(about, "rid").join(texts, "rid").select("gid", "hub", "rid", "n_copies", "gids", "hubs", "part", "role", "text")
         first = first.unionByName(written(verified(second, True), "verified"))

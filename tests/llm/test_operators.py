@@ -700,6 +700,29 @@ def test_near_join_counts_links_across_blocks(spark, monkeypatch):
     assert [got[k] for k in range(41)] == brute_classes([*texts, texts[0]])[1]
 
 
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_near_join_deals_texts_out_by_tile(spark, monkeypatch, tile):
+    """A large group of near copies: a text goes out once for each tile of its group, not for each block, and no link is lost."""
+    monkeypatch.setattr(near_join, "BLOCK", 4)
+    monkeypatch.setattr(near_join, "TILE", tile)
+    dealt = []
+    verified = near_join.verified
+    monkeypatch.setattr(near_join, "verified", lambda grouped, cross: dealt.append((cross, grouped.count())) or verified(grouped, cross))
+    texts = []
+    for k in range(60):
+        t = [f"w{j}" for j in range(200)]
+        for x in range(1 + k % 4):
+            t[(5 * k + 40 * x) % 200] = f"changed{k}"
+        texts.append(" ".join(t))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in near_join.classes(table).collect()}
+    root, n = brute_classes(texts)
+    assert [got[k]["n_links"] for k in range(60)] == n and max(n) > 40
+    assert sum(x for cross, x in dealt if cross) <= sum(x for cross, x in dealt if not cross) * -(-60 // tile)
+    kept = near_join.deduplicated(table)
+    assert kept.count() == len(set(root))
+
+
 def test_prefix_is_shortened_to_the_recall():
     assert near_join.LEAST == near_join.prefix_length() == 4
     assert near_join.prefix_length(recall=0.9) == 8
