@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave import queries
 from factweave.operators import entity_updates, node_shapes, records, suggestions, updates
-from factweave.sources import binding, files, mapping, shared, sheet, turtle
+from factweave.sources import binding, files, mapping, shared, sheet, store, turtle
 from factweave.sources.mapping import TERMS, Entity, Ref, Template
 
 
@@ -152,3 +152,26 @@ def test_full_records_without_the_triples(spark):
     none = rows.limit(0)
     assert records.mapped_wide(none, sheet.ENTITIES, root).count() == records.mapped_fields(none, sheet.ENTITIES, root).count() == 0
     g.unpersist(), whole.unpersist()
+
+
+def test_store_deals_out_only_what_a_change_can_meet(spark, tmp_path, monkeypatch):
+    """Additions are one more part, old rows of other stems aren't dealt out, and all versions are read in one pass."""
+    t = lambda *rows: spark.createDataFrame([(s, p, o, "literal", None, None) for s, p, o in rows], ", ".join(f"{c} string" for c in TERMS))
+    written = []
+    whole = store.Store._with
+    monkeypatch.setattr(store.Store, "_with", lambda self, rows, kept: written.append(plan(rows)) or whole(self, rows, kept))
+    one = store.Store.created(t(("a1", "p", "x"), ("a2", "p", "y"), ("b1", "p", "x"), ("a1", "q", "z")), str(tmp_path / "store"))
+    assert "Exchange" not in written[0]
+    two = one.changed(new=t(("a2", "p", "y"), ("a3", "p", "y"), ("a3", "p", "y"), ("c1", "p", "w")))
+    three = two.changed(new=t(("a1", "p", "v"), ("a3", "p", "u")), replaced=True)
+    four = three.changed(new=t(("b1", "p", "x"), ("b2", "p", "x")), gone=t(("c1", "p", "w"), ("a1", "p", "other")))
+    assert two.chains == {"p": (1, 2), "q": (1,)} and three.chains == {"p": (3,), "q": (1,)}
+    facts = lambda s: sorted(map(tuple, s.read().select("s", "p", "o").collect()))
+    v2 = [("a1", "p", "x"), ("a1", "q", "z"), ("a2", "p", "y"), ("a3", "p", "y"), ("b1", "p", "x"), ("c1", "p", "w")]
+    assert facts(two) == v2 and len(facts(one)) == 4
+    assert facts(three) == [("a1", "p", "v"), ("a1", "q", "z"), ("a2", "p", "y"), ("a3", "p", "u"), ("b1", "p", "x"), ("c1", "p", "w")]
+    assert facts(four) == [("a1", "p", "v"), ("a1", "q", "z"), ("a2", "p", "y"), ("a3", "p", "u"), ("b1", "p", "x"), ("b2", "p", "x")]
+    each = four.through(1, 2, 3, 4).select("s", "p", "o", F.explode("versions").alias("v"))
+    assert [sorted(map(tuple, each.where(F.col("v") == k).select("s", "p", "o").collect())) for k in (1, 2, 3, 4)] == [facts(s) for s in (one, two, three, four)]
+    near, far = shared.apart(t(("a7", "p", "x"), ("ab", "p", "x"), ("a7", "q", "x"), (None, "p", "x")), t(("a1", "p", "x")))
+    assert [r.p for r in near.collect()] == ["p"] and far.count() == 3
