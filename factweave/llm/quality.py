@@ -3,7 +3,9 @@
 A document's score is linear in its features. Preference pairs put a training document of label 1 before one of label 0; the
 logistic loss on the difference of their features is minimised. The threshold is the quantile of training scores
 that leaves the share of label 1 above it; the published score is the logistic function of the distance to the threshold, so
-0.5 is the threshold. The fit uses at most `per_class` training documents of each class, chosen by a hash of their id.
+0.5 is the threshold. All training documents take part: the bins are their quantiles (by Spark's percentile_approx, to one rank in 100,000), and
+documents are dealt to groups of about `GROUP` by a hash of their id; in a group, every document of the one label is compared with every one of the other.
+Each group of the more frequent label meets one of the rarer, whose documents meet several where they are few. Newton's method needs only the sums over groups.
 
 Null or empty text: all features 0, scored like any other. Labels that are null or disagree: see base.label_table. Without
 labels of both classes every score is the share of label 1. Repeated rows: one row out for each. Other columns are left out.
@@ -13,17 +15,18 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.base import crc_fold, documents, labelled_sample, table
+from factweave.llm.base import crc_fold, documents, label_table, table, written
 
-PER_CLASS = 4000
-PAIRS = 60_000
+#: Documents of the more frequent label in a group, and of the rarer one at the least, where there are so many.
+GROUP, FEW = 2048, 32
+ROUNDS, DECAY = 25, 1e-4
 SYMBOLS = b"#*$%&|<>^~@\\{}[]+=_"
 #: A bound of this module's own numbers, for the bins below.
 BINS = 12
@@ -78,36 +81,123 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip((self.raw(x) - self.threshold) * self.scale, -50, 50)))
 
 
-def train(x: np.ndarray, y: np.ndarray, rate: float, pairs: int = PAIRS, rounds: int = 250, decay: float = 1e-4, seed: int = 5) -> Ranking:
-    """Weights of the bins from pairs of label 1 before label 0; the class shares of the sample are undone in the quantile."""
-    one, none = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(one) or not len(none):
+def pair_sums(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Over all pairs of a row of a before one of b (bins of each feature, numbered through): their number, the loss, its downward slope, and the upper triangle of its second derivatives."""
+    one_hot = lambda bins: np.eye(len(w))[bins].sum(1)
+    zb, sb, ends, weights = one_hot(b), w[b].sum(1), np.zeros(len(b)), np.zeros(len(b))
+    loss, slope, second = 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for k in range(0, len(a), 512):
+        za = one_hot(a[k : k + 512])
+        d = np.clip(w[a[k : k + 512]].sum(1)[:, None] - sb, -500, 500)
+        wrong = 1 / (1 + np.exp(d))
+        v = wrong * (1 - wrong)
+        loss += np.logaddexp(0, -d).sum()
+        slope += za.T @ wrong.sum(1)
+        ends += wrong.sum(0)
+        weights += v.sum(0)
+        cross = za.T @ (v @ zb)
+        second += (za * v.sum(1)[:, None]).T @ za - cross - cross.T
+    second += (zb * weights[:, None]).T @ zb
+    return np.concatenate([[len(a) * len(b), loss], slope - zb.T @ ends, second[np.triu_indices(len(w))]])
+
+
+def least(sums: Callable[[np.ndarray], np.ndarray], size: int, decay: float = DECAY, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights of least mean loss over the pairs, by Newton's method; a step that makes it larger is halved. sums: pair_sums of weights, over all groups."""
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        got = sums(w)
+        upper = np.zeros((size, size))
+        upper[np.triu_indices(size)] = got[2 + size :] / got[0]
+        return got[1] / got[0] + decay / 2 * w @ w, got[2 : 2 + size] / got[0] - decay * w, upper + np.triu(upper, 1).T + decay * np.eye(size)
+
+    w = np.zeros(size)
+    loss, slope, second = at(w)
+    for _ in range(rounds):
+        step = np.linalg.solve(second, slope)
+        while (now := at(w + step))[0] > loss and np.abs(step).max() > 1e-4:
+            step = step / 2
+        if now[0] > loss:
+            break
+        w, gained = w + step, loss - now[0]
+        loss, slope, second = now
+        if gained < 1e-6:
+            break
+    return w
+
+
+def numbered(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The bin of each feature, numbered through."""
+    return np.stack([np.searchsorted(edges[j], x[:, j], side="right") for j in range(x.shape[1])], 1) + BINS * np.arange(x.shape[1])
+
+
+def train(x: np.ndarray, y: np.ndarray, rate: float, rounds: int = ROUNDS, decay: float = DECAY) -> Ranking:
+    """The fit of few documents, as one group: what fit() finds over many."""
+    if not (y == 1).any() or not (y == 0).any():
         return Ranking(np.zeros((0, 0)), np.zeros((0, 0)), 0.0, 1.0, float(np.mean(y)) if len(y) else rate)
     edges = np.array([np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1]) for j in range(x.shape[1])])
-    bins = np.stack([np.searchsorted(edges[j], x[:, j], side="right") for j in range(x.shape[1])], 1) + BINS * np.arange(x.shape[1])
-    rng = np.random.default_rng(seed)
-    a, b = bins[rng.choice(one, pairs)], bins[rng.choice(none, pairs)]
-    w = np.zeros(BINS * x.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, rounds + 1):
-        g = 1 / (1 + np.exp(w[a].sum(1) - w[b].sum(1))) / pairs
-        g = np.repeat(g, x.shape[1])
-        d = np.bincount(a.ravel(), weights=g, minlength=len(w)) - np.bincount(b.ravel(), weights=g, minlength=len(w)) - decay * w
-        m, v = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d**2
-        w += 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    raw = w[bins].sum(1)
-    share = np.where(y == 1, rate / len(one), (1 - rate) / len(none))
-    order = np.argsort(raw, kind="stable")
-    below = np.cumsum(share[order])
-    k = min(len(raw) - 1, int(np.searchsorted(below, 1 - rate, side="right")))
-    threshold = float((raw[order[max(0, k - 1)]] + raw[order[k]]) / 2)
-    return Ranking(edges, w.reshape(x.shape[1], BINS), threshold, 1.0)
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ranking:
-    rows, rate = labelled_sample(docs, labels, "quality", 3, 1, per_class)
-    x = np.array([features(t) for t in rows["text"]]).reshape(len(rows), len(NAMES))
-    return train(x, rows["y"].to_numpy(), rate)
+    bins = numbered(x, edges)
+    w = least(lambda w: pair_sums(bins[y == 1], bins[y == 0], w), BINS * x.shape[1], decay, rounds)
+    raw = np.sort(w[bins].sum(1))
+    k = int((y == 0).sum())
+    return Ranking(edges, w.reshape(x.shape[1], BINS), float(raw[k - 1] + raw[k]) / 2, 1.0)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, x: the features of every row."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([[float(v) for v in features(t)] for t in s], index=s.index)
+
+    return documents(docs).select("doc_id", F.pandas_udf(run, "array<double>")("text").alias("x"))
+
+
+def groups(known: DataFrame, n: dict[int, int]) -> DataFrame:
+    """known (doc_id, y, x) with the number of its group; rows of the rarer label stand in several where they are few."""
+    rare = int(n[1] < n[0])
+    many = -(-n[1 - rare] // GROUP)
+    few = max(1, min(many, n[rare] // FEW))
+    h = F.xxhash64("doc_id")
+    frequent = known.where(F.col("y") != rare).withColumn("group", F.pmod(h, F.lit(many)))
+    rarer = known.where(F.col("y") == rare).withColumn("group", F.explode(F.sequence(F.pmod(h, F.lit(few)), F.lit(many - 1).cast("long"), F.lit(few).cast("long"))))
+    return frequent.unionByName(rarer)
+
+
+def fit_features(every: DataFrame, labels: DataFrame) -> Ranking:
+    """every: doc_id, x of all documents; only the training documents among them are used. One with several rows counts once."""
+    y = label_table(labels, "quality").where(crc_fold("doc_id", 3) != 1)
+    known = written(every.join(y, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")), "known")
+    n = {0: 0, 1: 0} | {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n[0] or not n[1]:
+        rate = y.agg(F.avg("y")).first()[0]
+        return Ranking(np.zeros((0, 0)), np.zeros((0, 0)), 0.0, 1.0, 1.0 if n[1] else 0.0 if n[0] else 0.5 if rate is None else rate)
+    size, places = BINS * len(NAMES), np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    edges = np.array(known.agg(*[F.percentile_approx(F.col("x")[j], places, 100_000) for j in range(len(NAMES))]).first())
+    bins = F.pandas_udf(lambda x: pd.Series(numbered(np.stack(x), edges).astype(np.int32).tolist()), "array<int>")
+    dealt = written(groups(known, n).select("group", "y", bins("x").alias("bins")), "groups")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            b, y = np.stack(pdf["bins"]), pdf["y"].to_numpy()
+            return pd.DataFrame({"sums": [pair_sums(b[y == 1], b[y == 0], w).tobytes()]})
+
+        def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = sum(np.frombuffer(x) for pdf in frames for x in pdf["sums"])
+            if not np.isscalar(total):
+                yield pd.DataFrame({"id": np.arange(len(total)), "n": total})
+
+        each = dealt.groupBy("group").applyInPandas(one, "sums binary").mapInPandas(added, "id long, n double")
+        return each.groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")["n"].to_numpy()
+
+    w = least(sums, size)
+    raw = F.pandas_udf(lambda x: pd.Series(w[numbered(np.stack(x), edges)].sum(1)), "double")
+    share = [(n[0] - 0.5) / (n[0] + n[1]), (n[0] + 0.5) / (n[0] + n[1])]
+    threshold = float(np.mean(known.agg(F.percentile_approx(raw("x"), share, 100_000)).first()[0]))
+    return Ranking(edges, w.reshape(len(NAMES), BINS), threshold, 1.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Ranking:
+    return fit_features(featured(docs.where(crc_fold("doc_id", 3) != 1)), labels)
 
 
 def scored(model: Ranking):
@@ -130,9 +220,11 @@ def kept(docs: DataFrame, model: Ranking, least: float = 0.5) -> DataFrame:
 
 
 def op5_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    every = written(featured(table(spark, sf_dir, "documents")), "features", compression="zstd")
+    model = fit_features(every, table(spark, sf_dir, "labels"))
+    score = F.pandas_udf(lambda x: pd.Series(model.score(np.stack(x))), "double")
+    out = every.select("doc_id", score("x").alias("score"))
     return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-__all__ = ["Ranking", "features", "fit", "kept", "op5_pairwise_ranking", "score", "train"]
+__all__ = ["Ranking", "featured", "features", "fit", "fit_features", "kept", "op5_pairwise_ranking", "score", "train"]

@@ -432,6 +432,28 @@ def test_ranking_against_descent_over_all_pairs():
     assert abs((model.score(x) >= 0.5).mean() - 0.5) < 0.05
 
 
+def test_quality_learns_from_every_training_document(spark, monkeypatch):
+    """Groups hold each of them, whatever the share of a label, and their sums lead where one group of all does."""
+    rows = [(k, int(k % 40 > 0)) for k in range(900)]
+    known = spark.createDataFrame(rows, "doc_id long, y int").withColumn("x", F.array(F.col("doc_id").cast("double")))
+    monkeypatch.setattr(quality, "GROUP", 100)
+    monkeypatch.setattr(quality, "FEW", 4)
+    dealt = quality.groups(known, {0: 23, 1: 877}).toPandas()
+    assert set(dealt["doc_id"]) == set(range(900)) and (dealt[dealt["y"] == 1].groupby("doc_id").size() == 1).all()
+    assert set(dealt[dealt["y"] == 0]["group"]) == set(dealt[dealt["y"] == 1]["group"]) == set(range(9))
+    rng = np.random.default_rng(4)
+    a, b, w = rng.integers(0, 3, (700, 2)) + [0, 3], rng.integers(0, 3, (90, 2)) + [0, 3], rng.normal(size=6)
+    halves = quality.pair_sums(a[:300], b, w) + quality.pair_sums(a[300:], b, w)
+    assert np.allclose(halves, quality.pair_sums(a, b, w)) and halves[0] == 63000
+    d, y = base.table(spark, "/root/testdata/sf0.01", "documents"), base.table(spark, "/root/testdata/sf0.01", "labels")
+    monkeypatch.setattr(quality, "GROUP", 10_000)
+    got = quality.fit(d, y)
+    train = quality.featured(d).join(base.label_table(y, "quality").where(base.crc_fold("doc_id", 3) != 1), "doc_id").toPandas()
+    bins, labels = quality.numbered(np.stack(train["x"]), got.edges), train["y"].to_numpy()
+    one = quality.least(lambda w: quality.pair_sums(bins[labels == 1], bins[labels == 0], w), quality.BINS * len(quality.NAMES))
+    assert np.allclose(got.weights.ravel(), one, atol=1e-3)
+
+
 def test_most_common_word_is_found_anywhere():
     words = [f"w{k}" for k in range(64)]
     for k in range(1, 64, 2):
